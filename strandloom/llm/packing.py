@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize, partitions, prefix_sums, small_arrow_batches
-from .tokens import PieceIds
+from .tokens import PieceIds, worker_cache
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -22,7 +22,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, id
     small_arrow_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = PieceIds(path)
+        ids_of = worker_cache(PieceIds, path)
         last = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []

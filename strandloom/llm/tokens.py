@@ -14,10 +14,12 @@ from .common import small_arrow_batches
 
 FRAGMENT = 1 << 18
 BATCH_BYTES = 1 << 19
-CACHE = 300_000
-_spaced = re.compile(r"\s\s|^\s|\s$")
+CACHE = 600_000
+#: White space as Python knows it, but for the space itself.
+_OTHER_SPACES = [chr(i) for i in range(0x3001) if chr(i).isspace() and i != 32]
 _gap = re.compile(r"(?<=\S) (?=\S)")
 _tokenizers: dict[str, object] = {}
+_encoders: dict[tuple[type, str], object] = {}
 
 
 def tokenizer_path(name: str) -> str:
@@ -51,27 +53,61 @@ class PieceIds:
 
     def __init__(self, path: str):
         self.encoder, self.kept = _tokenizer(path), {}
+        # a byte-level vocabulary writes each byte as one character; added tokens stand for their own text
+        self.sizes = np.zeros(self.encoder.get_vocab_size(), np.int64)
+        for token, i in self.encoder.get_vocab(with_added_tokens=False).items():
+            self.sizes[i] = len(token)
+        for i, token in self.encoder.get_added_tokens_decoder().items():
+            self.sizes[i] = len(token.content.encode())
+
+    def irregular(self, text: str) -> bool:
+        """Whether a space stands beside other white space, or at an end."""
+        if "  " in text or "\0" in text or text[:1].isspace() or text[-1:].isspace():
+            return True
+        return any(c in text and (c + " " in text or " " + c in text) for c in _OTHER_SPACES)
 
     def pieces(self, text: str) -> list[str]:
-        found = _gap.split(text) if _spaced.search(text) else text.split(" ")
-        return [found[0], *[" " + x for x in found[1:]]]
+        if self.irregular(text):
+            found = _gap.split(text)
+            return [found[0], *[" " + x for x in found[1:]]]
+        return text.replace(" ", "\0 ").split("\0")
 
-    def learn(self, pieces: Iterator[str]) -> None:
+    def learn(self, pieces: list[list[str]]) -> None:
+        """Encodes what is not known yet.
+
+        A comma or full stop after a letter begins a token of its own, so a
+        piece that ends so takes the ids of its word and its mark.
+        """
         if len(self.kept) > CACHE:
             self.kept.clear()
+        unseen = set().union(*pieces).difference(self.kept)
+        marked = [x for x in unseen if x[-1:] in (",", ".") and "A" <= x[-2:-1] < "\u0250" and x[-2].isalpha()]
         fresh, size = [], 0
-        for piece in {x for x in pieces if x not in self.kept}:
+        for piece in unseen.difference(marked).union([x[:-1] for x in marked], (",", ".")).difference(self.kept):
             fresh.append(piece)
             size += len(piece)
             if size > BATCH_BYTES:
                 self._encode(fresh)
                 fresh, size = [], 0
         self._encode(fresh)
+        self.kept.update([(x, self.kept[x[:-1]] + self.kept[x[-1]]) for x in marked])
 
     def _encode(self, pieces: list[str]) -> None:
-        if pieces:
-            for piece, found in zip(pieces, self.encoder.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-                self.kept[piece] = np.array(found.ids, "<u4").tobytes()
+        """Encodes pieces that begin at a gap as one text, and the others singly.
+
+        The tokens' bytes add up to the text's, so the running sum of their
+        lengths says where each piece's ids end.
+        """
+        joint = [x for x in pieces if x[:1] == " " and not x[-1].isspace()]
+        single = [x for x in pieces if x[:1] != " " or x[-1].isspace()]
+        for piece, found in zip(single, self.encoder.encode_batch_fast(single, add_special_tokens=False), strict=True):
+            self.kept[piece] = np.array(found.ids, "<u4").tobytes()
+        if joint:
+            ids = np.array(self.encoder.encode_batch_fast(["".join(joint)], add_special_tokens=False)[0].ids, "<u4")
+            wanted = np.cumsum([len(x.encode()) for x in joint])
+            ends = (4 * (np.searchsorted(np.cumsum(self.sizes[ids]), wanted) + 1)).tolist()
+            raw = ids.tobytes()
+            self.kept.update(zip(joint, [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)], strict=True))
 
     def many(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
@@ -85,7 +121,7 @@ class PieceIds:
         yield from self._flush(waiting)
 
     def _flush(self, waiting: list[list[str]]) -> Iterator[bytes]:
-        self.learn(x for pieces in waiting for x in pieces)
+        self.learn(waiting)
         for pieces in waiting:
             yield b"".join(map(self.kept.__getitem__, pieces))
 
@@ -121,7 +157,7 @@ class WordLengths:
         if len(self.kept) > CACHE:
             self.kept.clear()
         fresh, size = [], 0
-        for word in {x for words in parts for x in words if x not in self.kept}:
+        for word in set().union(*parts).difference(self.kept):
             fresh.append(word)
             size += len(word)
             if size > BATCH_BYTES:
@@ -152,6 +188,13 @@ class WordLengths:
         return out
 
 
+def worker_cache(kind: type, path: str):
+    """One encoder for all tasks of a worker, so that they share what it has seen."""
+    if (kind, path) not in _encoders:
+        _encoders[kind, path] = kind(path)
+    return _encoders[kind, path]
+
+
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row's whole text.
 
@@ -163,7 +206,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     small_arrow_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = WordLengths(path)
+        lengths = worker_cache(WordLengths, path)
         for batch in batches:
             texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in texts], pa.int64()), pa.array(lengths.many(texts), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])

@@ -8,3 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None):
+    def register(function: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = function
+        if oracle is not None:
+            ORACLE_SQL[name] = oracle
+        return function
+
+    return register

@@ -103,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_id", "_y", "_text")  # `sample` ids at most
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, 100) for whole in batches for i in range(0, whole.num_rows, 100)):
             found = [sorted(features(x)) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], ["id", "y", "features"])
 

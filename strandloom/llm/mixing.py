@@ -105,7 +105,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
     for (source, size), goal in zip(known, goals, strict=True):
         rate = min(float(most), float(np.exp(tilts[source])))
         whole = int(rate + 1e-9)
-        plan.append((source, size, goal, rate, whole, max(0, round(goal) - whole * size) if whole < most else 0))
+        plan.append((source, size, float(goal), rate, whole, max(0, round(goal) - whole * size) if whole < most else 0))
     schema = "_s string, source_size long, target double, rate double, _whole int, _room long"
     state = rows.join(F.broadcast(spark.createDataFrame(plan, schema)), F.col("_source") == F.col("_s"), "left").drop("_s")
     state = materialize(state.withColumn("_more", F.lit(0)), "rates")

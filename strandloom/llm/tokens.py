@@ -14,7 +14,7 @@ from .common import small_arrow_batches
 
 FRAGMENT = 1 << 18
 BATCH_BYTES = 1 << 19
-CACHE = 600_000
+CACHE = 400_000
 #: White space as Python knows it, but for the space itself.
 _OTHER_SPACES = [chr(i) for i in range(0x3001) if chr(i).isspace() and i != 32]
 _gap = re.compile(r"(?<=\S) (?=\S)")
@@ -115,7 +115,7 @@ class PieceIds:
         for text in texts:
             waiting.append(self.pieces(text))
             size += len(text)
-            if size > 8 * BATCH_BYTES:
+            if size > 2 * BATCH_BYTES:
                 yield from self._flush(waiting)
                 waiting, size = [], 0
         yield from self._flush(waiting)
@@ -181,7 +181,7 @@ class WordLengths:
             for part in self.fragments(text):
                 waiting.append((i, part.split()))
                 size += len(part)
-                if size > 8 * BATCH_BYTES:
+                if size > 2 * BATCH_BYTES:
                     flush()
                     size = 0
         flush()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, small_arrow_batches
 
-SAMPLE, VOCABULARY = 40_000, 2048
+SAMPLE, VOCABULARY = 24_000, 2048
 EDGES = ".,;:!?\"'()[]{}<>*%&$#@|~^_=+/\\`-"
 
 
@@ -113,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not p or p == n:  # nothing to tell apart: everything is clean, or toxic
         return Classifier([], np.zeros(0), 4.0 if p else -4.0)
     counts = seen.select("y", F.explode("features").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("u"), F.sum("y").alias("k"))
-    share, error = F.col("u") / n, None
+    share = F.col("u") / n
     error = F.sqrt(share * (1 - share) * (1 / p + 1 / n)) + 1e-9
     ranked = counts.filter(F.col("u") >= 5).withColumn("z", F.abs(F.col("k") / p - share) / error).filter("z > 4")
     names = [r.name for r in ranked.orderBy(F.desc("z"), "name").limit(vocabulary).collect()]

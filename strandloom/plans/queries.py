@@ -390,3 +390,36 @@ def h21(spark, d):
     """The inverse of the cumulative hazard, a piecewise-linear function: axes exchanged."""
     rows = A.eta(spark, d).select("vec_id", "i", F.col("h").alias("x"), (1 / F.col("c")).alias("slope"), F.col("t").alias("y"))
     return rounded(rows, "x", "slope", "y")
+
+
+def packed_users(spark, d):
+    rows = A.observations(spark, d).withColumn("k", F.lit(0).cast("long")).withColumnRenamed("win", "slot")
+    return windows.packed(rows, ["user_id"], A.WINDOWS)
+
+
+@query("m7_forward_likelihood")
+def m7(spark, d):
+    """The log-likelihood of each user's windows under the default history."""
+    from ..functions import hmm
+    from ..operators.fit import likelihoods
+
+    one = hmm.np.array([1e-2])
+    return likelihoods(packed_users(spark, d), (*hmm.default_history(), one, one), "user_id")
+
+
+@query("m12_stein_fit")
+def m12(spark, d):
+    """A small fit: twelve particles, two steps, over every user's chunks."""
+    from ..operators import fit
+
+    chunks = windows.packed(w1(spark, d), ["user_id"], 25)
+    theta = max(a5(spark, d).first().theta or 0.0, 1e-6) * SIZE
+    return fit.posterior(spark, fit.fit(chunks, theta, 5, particles=12, iterations=2), theta)
+
+
+@query("m15_simultaneous_band")
+def m15(spark, d):
+    from ..operators.fit import simultaneous_band
+
+    value = 1 / (2 * H.rate_at(F.col("t"), F.col("c"), F.col("x")))
+    return simultaneous_band(on_grid(spark, d).select(F.col("vec_id").alias("particle"), F.round("x", 9).alias("x"), value.alias("value")))

@@ -106,3 +106,33 @@ def log_prior(x: np.ndarray, alpha: float = 0.0, beta: float = 0.0) -> np.ndarra
     ratio = np.log(0.1 + 9.9 / (1 + np.exp(-x[:, 17])))
     c = np.log(np.logaddexp(0, x[:, 2:17]) + 1e-12)
     return -0.5 * ratio**2 - 0.5 * np.log(2 * np.pi) - alpha * (np.diff(c, axis=1) ** 2).sum(axis=1) - beta * (x**2).sum(axis=1)
+
+
+def structured(t: np.ndarray, c: np.ndarray, theta: np.ndarray, rho: np.ndarray) -> dict[str, np.ndarray]:
+    """The transition matrices' columns below, diagonal and rank-one part above; emissions and start."""
+    a = transition(t, c, rho)
+    none = np.zeros((len(t), 1))
+    below = np.diagonal(a, -1, 1, 2)
+    v = np.concatenate([none, a[:, 0, 1:] / a[:, 0, 1:2]], axis=1)
+    u = np.diagonal(a, 1, 1, 2) / v[:, 1:]
+    miss = np.exp(-theta[:, None] * expected_times(t, c))
+    parts = {"b": np.concatenate([below, none], axis=1), "d": np.diagonal(a, 0, 1, 2), "u": np.concatenate([u, none], axis=1), "v": v, "emis0": miss, "emis1": 1 - miss, "pi": start(t, c)}
+    return parts
+
+
+def coalescence_times(t: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
+    """(models, n - 1): the expected times with 2 to n lineages."""
+    dt = np.diff(t, axis=-1)
+    h = np.concatenate([np.zeros((len(t), 1)), np.cumsum(dt * c[:, :-1], axis=-1)], axis=1)
+    k = np.arange(2, n + 1)
+    r = (k * (k - 1) / 2)[None, :, None]
+    gone = np.concatenate([-np.expm1(-r * (c[:, :-1] * dt)[:, None]), np.ones((len(t), len(k), 1))], axis=2)
+    return (np.exp(-r * h[:, None]) / (r * c[:, None]) * gone).sum(axis=2)
+
+
+def spectrum_term(t: np.ndarray, c: np.ndarray, observed: np.ndarray, weights: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """The log-likelihood of an observed spectrum, both it and the expected one mapped by matrix."""
+    lengths = coalescence_times(t, c, len(observed) + 1) @ weights.T
+    expected = lengths / lengths.sum(axis=1, keepdims=True) @ matrix.T
+    seen = matrix @ observed
+    return np.where(seen > 0, seen * np.log(np.maximum(expected, 1e-300)), 0.0).sum(axis=1)

@@ -16,3 +16,8 @@ def hold_out_first(contigs: DataFrame, order: str) -> DataFrame:
     ends = contigs.agg(F.min(order).alias("_first"), F.max(order).alias("_last"))
     marked = contigs.crossJoin(F.broadcast(ends))
     return marked.select(*contigs.columns, ((F.col(order) == F.col("_first")) & (F.col("_first") != F.col("_last"))).cast("long").alias("held_out"))
+
+
+def gather(chunks: DataFrame, draws: DataFrame, key: str) -> DataFrame:
+    """A row of chunks for each draw, repeated as often as it was drawn."""
+    return draws.join(chunks, key)

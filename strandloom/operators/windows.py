@@ -58,3 +58,40 @@ def smoothed(rows: DataFrame, key: str, order: str, value: str, keep: float = 0.
     series = rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value].cast("double")).alias("_x"))
     mean = F.aggregate(F.slice("_x", 2, F.size("_x")), F.element_at("_x", 1), lambda acc, x: acc * keep + x * (1 - keep))
     return series.select(key, mean.alias("ema"))
+
+
+def observed(packed_chunks: DataFrame) -> DataFrame:
+    """Chunks with at least one window that is not missing."""
+    return packed_chunks.filter(F.exists("obs", lambda x: x >= 0))
+
+
+def trimmed(obs: DataFrame, key: str) -> DataFrame:
+    """Rows from a sequence's first window that is not missing to its last."""
+    whole = Window.partitionBy(key)
+    seen = F.when(F.col("ob") >= 0, F.col("win"))
+    marked = obs.withColumn("_first", F.min(seen).over(whole)).withColumn("_last", F.max(seen).over(whole))
+    return marked.filter(F.col("win").between(F.col("_first"), F.col("_last"))).drop("_first", "_last")
+
+
+def early_stop(rows: DataFrame, key: str, order: str, value: str, patience: int) -> DataFrame:
+    """(key, best, stop): where a series was best before it stopped for want of a better value."""
+    upto = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    record = F.max(value).over(before)
+    steps = rows.withColumn("_new", F.when(record.isNull() | (F.col(value) > record), F.col(order)))
+    steps = steps.withColumn("_best", F.max("_new").over(upto))
+    late = F.when(F.col(order) - F.col("_best") > patience, F.col(order))
+    stops = steps.groupBy(key).agg(F.coalesce(F.min(late), F.max(order)).alias("stop"), F.max_by("_best", order).alias("_last"), F.min_by("_best", late).alias("_then"))
+    return stops.select(key, F.coalesce("_then", "_last").alias("best"), "stop")
+
+
+def structured_product(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, order, out): x times a matrix with b below, d on and u v above its diagonal.
+
+    rows has b, d, u, v and x; two running sums take the place of the matrix.
+    """
+    ahead = Window.partitionBy(key).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
+    behind = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    low = F.col("b") * F.coalesce(F.sum("x").over(ahead), F.lit(0.0))
+    high = F.col("v") * F.coalesce(F.sum(F.col("u") * F.col("x")).over(behind), F.lit(0.0))
+    return rows.select(key, order, (low + F.col("d") * F.col("x") + high).alias("out"))

@@ -66,8 +66,12 @@ def parse_region(region: str) -> tuple[str, int, int]:
 
 
 def read_simulated(spark: SparkSession, path: str) -> DataFrame:
+    return parse_simulated(spark.read.text(path))
+
+
+def parse_simulated(lines: DataFrame) -> DataFrame:
     """calls from the transposed text of a coalescent simulator, haplotypes paired as they stand."""
-    rows = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("f"), "value")
+    rows = lines.select(F.split(F.trim("value"), r"\s+").alias("f"), "value")
     rows = rows.filter(F.regexp_like("value", F.lit(r"^\s*[0-9.]+\s+[0-9.eE+-]+(\s+[01])+\s*$")))
     genotype = F.slice("f", 3, F.size("f"))
     pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size(genotype) / 2).cast("int") - 1), lambda i: F.struct(F.element_at(genotype, 2 * i + 1).cast("int").alias("a0"), F.element_at(genotype, 2 * i + 2).cast("int").alias("a1")))

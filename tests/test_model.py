@@ -82,3 +82,50 @@ def test_stream(spark, tmp_path):
     running = stream.writeStream.format("memory").queryName("observed").outputMode("complete").trigger(availableNow=True).start()
     running.awaitTermination(120)
     assert spark.table("observed").count() == windowed(source).count()
+
+
+def test_structured_form_rebuilds_the_matrix():
+    t, c = np.array([[0.0, 0.3, 0.9, 2.0]]), np.array([[1.0, 0.7, 1.3, 0.4]])
+    a, s = hmm.transition(t, c, ONE)[0], {k: v[0] for k, v in hmm.structured(t, c, ONE, ONE).items()}
+    again = np.diag(s["d"]) + np.triu(np.outer(s["u"], s["v"]), 1) + np.tril(np.ones((4, 4)) * s["b"], -1)
+    assert abs(a - again).max() < 1e-7
+    x = np.array([0.1, 0.2, 0.3, 0.4])
+    assert x @ again == pytest.approx(x @ a, abs=1e-7)
+
+
+def test_transitions_and_product(spark):
+    from strandloom.operators import coalescent, windows
+
+    rows = [(k, [0.0, 0.3, 0.9], [1.0, 0.5 + k, 2.0]) for k in range(600)]
+    histories = spark.createDataFrame(rows, "k long, t array<double>, c array<double>")
+    sums = coalescent.transitions(histories, "k", 1e-2).groupBy("k", "i").sum("p").collect()
+    assert len(sums) == 1800 and all(abs(r[2] - 1) < 1e-6 for r in sums)
+    parts = coalescent.structured(histories.filter("k < 3"), "k", 1e-2, 1e-2).withColumnRenamed("pi", "x")
+    got = {(r.k, r.i): r.out for r in windows.structured_product(parts, "k", "i").collect()}
+    for k, t, c in rows[:3]:
+        t, c = np.array([t]), np.array([c])
+        want = hmm.start(t, c)[0] @ hmm.transition(t, c, ONE)[0]
+        assert [got[k, i] for i in range(3)] == pytest.approx(want, abs=1e-6)
+    assert coalescent.transitions(histories.limit(0), "k", 1e-2).count() == 0
+
+
+def test_spectrum_term():
+    from strandloom.operators import spectra
+
+    t, c = np.array([[0.0, 1.0]]), np.array([[1.0, 1.0]])
+    weights = np.array(branch_weights(5), float)
+    assert hmm.coalescence_times(t, c, 5)[0] == pytest.approx([2 / (k * (k - 1)) for k in range(2, 6)])
+    seen = np.array([10.0, 4, 0, 1])
+    share = np.array([1, 1 / 2, 1 / 3, 1 / 4]) / (25 / 12)
+    assert hmm.spectrum_term(t, c, seen, weights, np.eye(4))[0] == pytest.approx(sum(s * np.log(p) for s, p in zip(seen, share) if s))
+    assert spectra.fold_matrix(6) == [[1, 0, 0, 0, 1], [0, 1, 0, 1, 0], [0, 0, 1, 0, 0]]
+    assert spectra.fold_bin_matrix([100000, 200, 1, 0, 0, 0]) == [[1, 0, 0, 0, 0, 1], [0, 1, 1, 1, 1, 0]]
+
+
+def test_fit_with_spectrum_and_minibatch(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, (rng.random(30) < 0.2).astype(int).tolist()) for i in range(8)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, obs array<byte>")
+    x = fit.fit(chunks, 0.2, 5, particles=4, iterations=2, afs=[30.0, 12, 9, 4, 2], minibatch=3)
+    assert x.shape == (4, 18) and np.isfinite(x).all()
+    assert fit.drawn(chunks, np.array([2, 2, 5])).count() == 3

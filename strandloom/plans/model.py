@@ -120,7 +120,8 @@ def polynomials(spark, d):
 @query("j5_polynomial_lookup", f"WITH {ON_GRID}, p AS (SELECT met.vec_id, x, x - t AS u, {CUBIC} FROM met JOIN embeddings e ON e.vec_id = met.vec_id) SELECT vec_id, round(x, 9) AS x, round(((a0 * u + a1) * u + a2) * u + a3, 4) AS y FROM p")
 def j5(spark, d):
     rows = on_grid(spark, d).join(polynomials(spark, d), F.col("vec_id") == F.col("_id"))
-    return rows.select("vec_id", F.round("x", 9).alias("x"), F.round(H.polynomial_at(F.col("t"), F.col("a"), F.col("x")), 4).alias("y"))
+    values = rows.select("vec_id", "x", H.polynomial_at(F.col("t"), F.col("a"), F.col("x")).alias("y"))
+    return rounded(rounded(values, "y", digits=4), "x", digits=9)
 
 
 @query("h20_antiderivative", f"WITH {A.ETA}, p AS (SELECT eta.vec_id, i, t, dt, {CUBIC} FROM eta JOIN embeddings e ON e.vec_id = eta.vec_id) SELECT vec_id, i, round(coalesce(sum((((a0 / 4 * dt + a1 / 3) * dt + a2 / 2) * dt + a3) * dt) OVER (PARTITION BY vec_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0), 4) AS area FROM p")

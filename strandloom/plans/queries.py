@@ -333,26 +333,27 @@ GRID = "x AS (SELECT 0.002e0 * pow(7000e0, r.range / 19e0) AS x FROM range(0, 20
 
 
 def on_grid(spark, d):
+    """Each history beside each point x. Round x in a later select: a lambda's x takes an alias x beside it."""
     grid = spark.range(1).select(F.explode(H.geomspace(0.002, 14.0, 20)).alias("x"))
     return A.histories(spark, d).crossJoin(F.broadcast(grid))  # twenty times, whatever the input
 
 
 @query("j4_step_lookup", f"WITH {A.ETA}, {GRID} SELECT vec_id, round(x, 9) AS x, round(c, 6) AS c FROM x JOIN eta ON t <= x AND (dt IS NULL OR x < t + dt)")
 def j4(spark, d):
-    rows = on_grid(spark, d).select("vec_id", F.round("x", 9).alias("x"), H.rate_at(F.col("t"), F.col("c"), F.col("x")).alias("c"))
-    return rounded(rows, "c")
+    rows = on_grid(spark, d).select("vec_id", "x", H.rate_at(F.col("t"), F.col("c"), F.col("x")).alias("c"))
+    return rounded(rounded(rows, "c"), "x", digits=9)
 
 
 @query("h6_density", f"WITH {A.ETA}, {GRID} SELECT vec_id, round(x, 9) AS x, round(c * exp(-(h + c * (x - t))), 6) AS density, round(1 - exp(-(h + c * (x - t))), 6) AS cdf FROM x JOIN eta ON t <= x AND (dt IS NULL OR x < t + dt)")
 def h6(spark, d):
     hazard = H.hazard_at(F.col("t"), F.col("c"), F.col("x"))
-    rows = on_grid(spark, d).select("vec_id", F.round("x", 9).alias("x"), (H.rate_at(F.col("t"), F.col("c"), F.col("x")) * F.exp(-hazard)).alias("density"), (1 - F.exp(-hazard)).alias("cdf"))
-    return rounded(rows, "density", "cdf")
+    rows = on_grid(spark, d).select("vec_id", "x", (H.rate_at(F.col("t"), F.col("c"), F.col("x")) * F.exp(-hazard)).alias("density"), (1 - F.exp(-hazard)).alias("cdf"))
+    return rounded(rounded(rows, "density", "cdf"), "x", digits=9)
 
 
 @query("k2_posterior_bands", f"WITH {A.ETA}, {GRID}, v AS (SELECT x, 1 / (2 * c) AS ne FROM x JOIN eta ON t <= x AND (dt IS NULL OR x < t + dt)) SELECT round(x, 9) AS x, round(quantile_cont(ne, 0.025e0), 6) AS lo, round(quantile_cont(ne, 0.5e0), 6) AS median, round(quantile_cont(ne, 0.975e0), 6) AS hi FROM v GROUP BY 1")
 def k2(spark, d):
-    rows = on_grid(spark, d).select(F.round("x", 9).alias("x"), (1 / (2 * H.rate_at(F.col("t"), F.col("c"), F.col("x")))).alias("ne"))
+    rows = rounded(on_grid(spark, d).select("x", (1 / (2 * H.rate_at(F.col("t"), F.col("c"), F.col("x")))).alias("ne")), "x", digits=9)
     bands = rows.groupBy("x").agg(F.percentile("ne", [0.025, 0.5, 0.975]).alias("q"))
     return rounded(bands.select("x", F.col("q")[0].alias("lo"), F.col("q")[1].alias("median"), F.col("q")[2].alias("hi")), "lo", "median", "hi")
 
@@ -422,4 +423,5 @@ def m15(spark, d):
     from ..operators.fit import simultaneous_band
 
     value = 1 / (2 * H.rate_at(F.col("t"), F.col("c"), F.col("x")))
-    return simultaneous_band(on_grid(spark, d).select(F.col("vec_id").alias("particle"), F.round("x", 9).alias("x"), value.alias("value")))
+    curves = on_grid(spark, d).select(F.col("vec_id").alias("particle"), "x", value.alias("value"))
+    return simultaneous_band(rounded(curves, "x", digits=9))

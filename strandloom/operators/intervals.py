@@ -6,13 +6,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def merged(masks: DataFrame) -> DataFrame:
-    """Disjoint intervals: overlapping and touching ones become one."""
-    order = Window.orderBy("a", "b")
-    reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opened = masks.withColumn("_new", F.coalesce((F.col("a") > reach).cast("int"), F.lit(1)))
-    numbered = opened.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return numbered.groupBy("_run").agg(F.min("a").alias("a"), F.max("b").alias("b")).select("a", "b")
+def merged(masks: DataFrame, span: int = 1 << 20) -> DataFrame:
+    """(a, b, before): disjoint intervals, overlapping and touching ones made one.
+
+    before is the end of the interval before, null for the first. Positions are
+    cut into spans of `span`; what earlier spans reach, and where their last
+    interval begins, comes from a pass with one row for each span, so no task
+    holds all masks.
+    """
+    rows = masks.select("a", "b", F.floor(F.col("a") / span).alias("_s"))
+    within = Window.partitionBy("_s").orderBy("a", "b")
+    reach = F.greatest(F.max("b").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.col("_b_before"))
+    marked = _carried(rows, "b").withColumn("before", reach)
+    marked = marked.withColumn("_from", F.when(F.col("before").isNull() | (F.col("a") > F.col("before")), F.col("a")))
+    run = F.greatest(F.max("_from").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.col("_from_before"))
+    numbered = _carried(marked.drop("_b_before"), "_from").withColumn("_run", run)
+    first = F.max(F.when(F.col("_from").isNotNull(), F.col("before")))
+    return numbered.groupBy(F.col("_run").alias("a")).agg(F.max("b").alias("b"), first.alias("before"))
+
+
+def _carried(rows: DataFrame, value: str) -> DataFrame:
+    """Adds the largest value of all earlier spans."""
+    tops = rows.groupBy(F.col("_s").alias("_t")).agg(F.max(value).alias("_top"))
+    earlier = Window.orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
+    name = f"_{value.lstrip('_')}_before"
+    return rows.join(tops.select("_t", F.max("_top").over(earlier).alias(name)), F.col("_s") == F.col("_t")).drop("_t")
 
 
 def buckets(masks: DataFrame, size: int) -> DataFrame:
@@ -37,12 +55,9 @@ def mask_windows(het: DataFrame, masks: DataFrame, size: int, value: str = "n_he
 
 def subtract(whole: DataFrame, masks: DataFrame) -> DataFrame:
     """What of the interval (a, b) of the one row of whole no mask covers."""
-    gaps = merged(masks)
-    order = Window.orderBy("a")
-    bounds = whole.select(F.col("a").alias("_lo"), F.col("b").alias("_hi"))
-    cut = gaps.crossJoin(F.broadcast(bounds.limit(1))).filter((F.col("b") > F.col("_lo")) & (F.col("a") < F.col("_hi")))
-    cut = cut.select(F.greatest("a", "_lo").alias("a"), F.least("b", "_hi").alias("b"), "_lo", "_hi")
-    before = cut.select(F.coalesce(F.lag("b").over(order), F.col("_lo")).alias("_s"), F.col("a").alias("_e"))
-    after = cut.groupBy("_hi").agg(F.max("b").alias("_s")).select("_s", F.col("_hi").alias("_e"))
-    rest = bounds.join(cut.limit(1).select(F.lit(1).alias("_any")), F.lit(True), "left_anti").select(F.col("_lo").alias("_s"), F.col("_hi").alias("_e"))
-    return before.union(after).union(rest).filter("_s < _e").select(F.col("_s").alias("a"), F.col("_e").alias("b"))
+    bounds = whole.select(F.col("a").alias("_lo"), F.col("b").alias("_hi")).limit(1)
+    cut = merged(masks).crossJoin(F.broadcast(bounds)).filter((F.col("b") > F.col("_lo")) & (F.col("a") < F.col("_hi")))
+    gaps = cut.select(F.greatest("before", "_lo").alias("a"), F.col("a").alias("b"))
+    reach = cut.agg(F.max("b").alias("_reach"))
+    rest = bounds.crossJoin(F.broadcast(reach)).select(F.greatest("_reach", "_lo").alias("a"), F.col("_hi").alias("b"))
+    return gaps.union(rest).filter("a < b")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import history as H
-from ..operators import het, intervals, spectra, windows
+from ..operators import het, intervals, ordering, spectra, windows
 from ..sources import adapters as A
 from .registry import query
 
@@ -94,8 +94,7 @@ def j2(spark, d):
 @query("j3_node_lookup", f"WITH {A.INDIVIDUALS}, n AS (SELECT node0 AS node FROM individuals WHERE pop = 3 UNION ALL SELECT node1 FROM individuals WHERE pop = 3), r AS (SELECT node, CAST(row_number() OVER (ORDER BY node) - 1 AS BIGINT) AS new_node FROM n) SELECT i.id, a.new_node AS new0, b.new_node AS new1 FROM individuals i JOIN r a ON a.node = i.node0 JOIN r b ON b.node = i.node1")
 def j3(spark, d):
     people = A.individuals(spark, d).filter(F.col("pop") == 3)
-    place = F.row_number().over(Window.orderBy("node")) - 1
-    nodes = people.select(F.explode(F.array("node0", "node1")).alias("node")).distinct().withColumn("new", place.cast("long"))
+    nodes = ordering.places(people.select(F.explode(F.array("node0", "node1")).alias("node")).distinct(), "node", "new")
     one, two = (nodes.select(F.col("node").alias(f"node{i}"), F.col("new").alias(f"new{i}")) for i in (0, 1))
     return people.join(one, "node0").join(two, "node1").select("id", "new0", "new1")
 

@@ -346,9 +346,10 @@ def test_embeddings(spark, near, block):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
-def test_neighbours(spark, near):
+@pytest.mark.parametrize("block_rows", [16_384, 200])
+def test_neighbours(spark, near, block_rows):
     rows = [r for r in near if r[0] < 2000]
-    got = neighbours.nearest(vectors(spark, rows + near[-7:]), every=20).collect()
+    got = neighbours.nearest(vectors(spark, rows + near[-7:]), every=20, block_rows=block_rows).collect()
     x = np.array([r[1] for r in rows], np.float32).astype(float)
     ids = np.array([r[0] for r in rows])
     hits = total = 0
@@ -364,6 +365,17 @@ def test_neighbours(spark, near):
     assert total >= 400 and hits >= 0.97 * total
 
 
+def test_neighbours_among_copies(spark):
+    """Most rows are one vector: its leaf is hot, and the nearest are ties."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [1.0] * 16 if i % 3 else rng.normal(size=16).tolist(), 0) for i in range(1200)]
+    got = neighbours.nearest(vectors(spark, rows), every=100, block_rows=100).collect()
+    copies = [i for i, v, _ in rows if v == [1.0] * 16]
+    for q in (100, 200, 1000):
+        own = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
+        assert [r.vec_id for r in own] == [i for i in copies if i != q][:10] and all(r.score == 0 for r in own)
+
+
 def test_chi_square_quantile():
     assert neighbours.chi_square_quantile(0.95, 8) == pytest.approx(15.5073, abs=1e-3)
 

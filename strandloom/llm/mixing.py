@@ -76,7 +76,7 @@ def balance(cells: DataFrame, targets: dict[str, float], tolerance: float = 1e-1
     return {k: float(at[place[k]]) if k in place else -np.inf for k in targets}
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", fills: int = 4) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", fills: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies) of every row; size in words.
 
     Sources, by code point and null last, take `weights` in turn, and share all
@@ -91,11 +91,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
     The number of sources must fit the driver; a hot source is spread by salted
     prefix sums. Null texts have size 0 and are never taken. Repeated rows with
     one id are separate documents if their sizes differ, and take turns in an
-    undefined order if they are equal. Other columns are not looked at. An empty
-    table gives an empty result.
+    undefined order if they are equal. Other columns are not looked at; those in
+    carry, such as a key of the rows, come after the result's own. An empty table
+    gives an empty result.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), word_count(F.col(text_col).cast("string")).alias("size"), F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("t")).alias("_source"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), word_count(F.col(text_col).cast("string")).alias("size"), F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("t")).alias("_source"), *carry)
     rows = materialize(rows, "words")
     cells = materialize(rows.groupBy("_source").agg(F.sum("size").alias("mass")).select(F.array("_source").alias("ids"), F.col("mass").cast("double").alias("mass")), "cells")
     known = [(r[0], int(r[1])) for r in cells.select(F.col("ids")[0], "mass").orderBy(F.col("ids")[0]).collect()]
@@ -112,7 +113,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
     for _ in range(fills):
         state = _fill(state)
     copies = F.col("_whole") + F.col("_more")
-    return state.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), F.when(F.col("size") > 0, copies).otherwise(0).alias("copies"), "rate")
+    return state.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), F.when(F.col("size") > 0, copies).otherwise(0).alias("copies"), "rate", *carry)
 
 
 def _fill(state: DataFrame) -> DataFrame:

@@ -29,8 +29,13 @@ def het_any(calls: DataFrame, size: int, missing: str = "homozygous") -> DataFra
 
 
 def dense(het: DataFrame, windows: int, value: str, fill: int = 0) -> DataFrame:
-    """Every window of every contig and sample, filled where there was no site."""
-    spine = het.select("contig", "sample").distinct().withColumn("win", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(windows - 1).cast("long"))))
+    """Every window of every contig and sample, filled where there was no site.
+
+    There are `windows` of them, or more where the data go on further.
+    """
+    last = het.agg(F.greatest(F.max("win"), F.lit(windows - 1).cast("long")).alias("_last"))
+    spine = het.select("contig", "sample").distinct().crossJoin(F.broadcast(last))
+    spine = spine.select("contig", "sample", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("win"))
     return spine.join(het, ["contig", "sample", "win"], "left").select("contig", "sample", "win", F.coalesce(value, F.lit(fill)).cast("long").alias(value))
 
 

@@ -140,7 +140,9 @@ def o3(spark, d):
  g AS (SELECT b AS a, lead(a) OVER (ORDER BY a) AS b FROM m UNION ALL SELECT CAST(0 AS BIGINT), min(a) FROM m)
  SELECT a, coalesce(b, CAST(1000000000 AS BIGINT)) AS b FROM g WHERE a < coalesce(b, CAST(1000000000 AS BIGINT))""")
 def o5(spark, d):
-    return intervals.subtract(spark.range(1).select(F.lit(0).cast("long").alias("a"), F.lit(1_000_000_000).cast("long").alias("b")), A.masks(spark, d))
+    masks = A.masks(spark, d)
+    end = F.greatest(F.max("b"), F.lit(1_000_000_000).cast("long"))
+    return intervals.subtract(masks.agg(F.lit(0).cast("long").alias("a"), end.alias("b")), masks)
 
 
 @query("a6_chunk_size", f"WITH {A.CALLS}, l AS (SELECT contig, max(pos) + 1 AS n FROM calls GROUP BY 1) SELECT CAST(floor(min(0.2e0 * n / {SIZE})) AS BIGINT) AS chunk_size FROM l")

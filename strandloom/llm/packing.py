@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, partitions, prefix_sums, small_arrow_batches
+from .common import materialize, prefix_sums, small_arrow_batches
 from .tokens import PieceIds, worker_cache
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -26,7 +26,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, id
         last = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
-            for doc, ids in zip(batch.column(0).to_pylist(), ids_of.many([x or "" for x in batch.column(1).to_pylist()]), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), ids_of.many(x.as_py() or "" for x in batch.column(1)), strict=True):
                 ids += last
                 n = len(ids) // 4
                 out += [(doc, at, min(capacity, n - at), zlib.crc32(ids[4 * at : 4 * (at + capacity)]), n) for at in range(0, n, capacity)]
@@ -108,7 +108,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, id_c
     histogram = {r.length: r.n for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = intervals(shortest_pack_first(histogram, capacity))
     schema = T.StructType([T.StructField(x, T.LongType(), False) for x in ("_length", "_first", "_after", "_times", "_offset", "_sequence")])
-    ranked = prefix_sums(cut, ["length"], ["doc_id", "start", "ids_crc32"], {"_rank": F.lit(1).cast("long")}, partitions(spark))
+    ranked = prefix_sums(cut, ["length"], ["doc_id", "start", "ids_crc32"], {"_rank": F.lit(1).cast("long")})
     where = F.broadcast(spark.createDataFrame(plan, schema))
     placed = ranked.join(where, (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_after")))
     nth = F.col("_rank") - F.col("_first")

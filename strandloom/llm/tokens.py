@@ -1,9 +1,10 @@
-"""Token ids and token counts of whole texts, word by word."""
+"""Token ids and token counts of whole texts."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import ChainMap
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,10 +15,11 @@ from .common import small_arrow_batches
 
 FRAGMENT = 1 << 18
 BATCH_BYTES = 1 << 19
-CACHE = 400_000
-#: White space as Python knows it, but for the space itself.
-_OTHER_SPACES = [chr(i) for i in range(0x3001) if chr(i).isspace() and i != 32]
-_gap = re.compile(r"(?<=\S) (?=\S)")
+#: A worker keeps the lengths of words of KEPT_WORD bytes or less, KEPT_BYTES in all.
+KEPT_WORD, KEPT_BYTES = 64, 1 << 27
+ENTRY = 150  # bytes that an entry takes besides its word
+# Fixed value: how a byte-level vocabulary cuts texts before it merges.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _tokenizers: dict[str, object] = {}
 _encoders: dict[tuple[type, str], object] = {}
 
@@ -40,103 +42,54 @@ def _tokenizer(path: str):
     return _tokenizers[path]
 
 
+def byte_alphabet() -> dict[str, int]:
+    """The bytes that the characters of a byte-level vocabulary stand for: printable ones for themselves, the others from 256 on."""
+    printable = [i for i in range(256) if 33 <= i <= 126 or 161 <= i <= 172 or i >= 174]
+    others = [i for i in range(256) if i not in printable]
+    return {chr(i): i for i in printable} | {chr(256 + k): i for k, i in enumerate(others)}
+
+
 class PieceIds:
-    """Ids of a byte-level BPE, kept for each piece of text between two gaps.
-
-    A gap is a single space between two characters that are no white space. The
-    vocabulary's pre-tokenizer always begins a new token at such a space, and
-    no merge crosses from token to token, so a text's ids are those of its
-    pieces, each with the space before it. Other runs of white space never are
-    cut. Unseen pieces are encoded together, in batches of a bounded number of
-    bytes; what is kept is bounded too.
+    """Ids of a byte-level BPE file of the tokenizers library, with nothing kept between texts.
+
+    The merges of such a file follow the order of its ids, so tiktoken's engine
+    gives the same ids from the same vocabulary, several times faster; tests
+    hold it against the library. It refuses very long runs of white space, and
+    such texts go to the library itself. Strings of added tokens in a text stand
+    for those tokens, as they do by default.
     """
 
     def __init__(self, path: str):
-        self.encoder, self.kept = _tokenizer(path), {}
-        # a byte-level vocabulary writes each byte as one character; added tokens stand for their own text
-        self.sizes = np.zeros(self.encoder.get_vocab_size(), np.int64)
-        for token, i in self.encoder.get_vocab(with_added_tokens=False).items():
-            self.sizes[i] = len(token)
-        for i, token in self.encoder.get_added_tokens_decoder().items():
-            self.sizes[i] = len(token.content.encode())
-
-    def irregular(self, text: str) -> bool:
-        """Whether a space stands beside other white space, or at an end."""
-        if "  " in text or "\0" in text or text[:1].isspace() or text[-1:].isspace():
-            return True
-        return any(c in text and (c + " " in text or " " + c in text) for c in _OTHER_SPACES)
-
-    def pieces(self, text: str) -> list[str]:
-        if self.irregular(text):
-            found = _gap.split(text)
-            return [found[0], *[" " + x for x in found[1:]]]
-        return text.replace(" ", "\0 ").split("\0")
-
-    def learn(self, pieces: list[list[str]]) -> None:
-        """Encodes what is not known yet.
-
-        A comma or full stop after a letter begins a token of its own, so a
-        piece that ends so takes the ids of its word and its mark.
-        """
-        if len(self.kept) > CACHE:
-            self.kept.clear()
-        unseen = set().union(*pieces).difference(self.kept)
-        marked = [x for x in unseen if x[-1:] in (",", ".") and "A" <= x[-2:-1] < "\u0250" and x[-2].isalpha()]
-        fresh, size = [], 0
-        for piece in unseen.difference(marked).union([x[:-1] for x in marked], (",", ".")).difference(self.kept):
-            fresh.append(piece)
-            size += len(piece)
-            if size > BATCH_BYTES:
-                self._encode(fresh)
-                fresh, size = [], 0
-        self._encode(fresh)
-        self.kept.update([(x, self.kept[x[:-1]] + self.kept[x[-1]]) for x in marked])
-
-    def _encode(self, pieces: list[str]) -> None:
-        """Encodes pieces that begin at a gap as one text, and the others singly.
-
-        The tokens' bytes add up to the text's, so the running sum of their
-        lengths says where each piece's ids end.
-        """
-        joint = [x for x in pieces if x[:1] == " " and not x[-1].isspace()]
-        single = [x for x in pieces if x[:1] != " " or x[-1].isspace()]
-        for piece, found in zip(single, self.encoder.encode_batch_fast(single, add_special_tokens=False), strict=True):
-            self.kept[piece] = np.array(found.ids, "<u4").tobytes()
-        if joint:
-            ids = np.array(self.encoder.encode_batch_fast(["".join(joint)], add_special_tokens=False)[0].ids, "<u4")
-            wanted = np.cumsum([len(x.encode()) for x in joint])
-            ends = (4 * (np.searchsorted(np.cumsum(self.sizes[ids]), wanted) + 1)).tolist()
-            raw = ids.tobytes()
-            self.kept.update(zip(joint, [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)], strict=True))
-
-    def many(self, texts: list[str]) -> Iterator[bytes]:
+        import tiktoken
+
+        encoder = self.encoder = _tokenizer(path)
+        special = {token.content: i for i, token in encoder.get_added_tokens_decoder().items()}
+        bytes_of = byte_alphabet()
+        ranks = {bytes(map(bytes_of.__getitem__, token)): i for token, i in encoder.get_vocab(with_added_tokens=False).items() if token not in special}
+        self.fast = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+    def many(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        waiting, size = [], 0
         for text in texts:
-            waiting.append(self.pieces(text))
-            size += len(text)
-            if size > 2 * BATCH_BYTES:
-                yield from self._flush(waiting)
-                waiting, size = [], 0
-        yield from self._flush(waiting)
-
-    def _flush(self, waiting: list[list[str]]) -> Iterator[bytes]:
-        self.learn(waiting)
-        for pieces in waiting:
-            yield b"".join(map(self.kept.__getitem__, pieces))
+            try:
+                ids = self.fast.encode_to_numpy(text, allowed_special="all")
+            except ValueError:
+                ids = np.array(self.encoder.encode(text, add_special_tokens=False).ids)
+            yield ids.astype("<u4").tobytes()
 
 
 class WordLengths:
     """Numbers of tokens of words between ASCII white space.
 
     For vocabularies whose pre-tokenizer drops white space and never crosses
-    it. Long texts are read in fragments that end at white space; unseen words
-    are encoded in batches of a bounded number of bytes, and only their lengths
-    are kept.
+    it. Long texts are read in fragments that end at white space, and a longer
+    word is a fragment of its own; unseen words are encoded in batches of a
+    bounded number of bytes. Only lengths are kept, of short words, in a bounded
+    number of bytes.
     """
 
     def __init__(self, path: str):
-        self.encoder, self.kept = _tokenizer(path), {}
+        self.encoder, self.kept, self.held = _tokenizer(path), {}, 0
 
     def fragments(self, text: bytes) -> Iterator[bytes]:
         at = 0
@@ -149,22 +102,32 @@ class WordLengths:
             at = cut
         yield text[at:]
 
-    def _encode(self, words: list[bytes]) -> None:
+    def _lengths(self, words: list[bytes]) -> dict[bytes, int]:
         found = self.encoder.encode_batch_fast([x.decode() for x in words], add_special_tokens=False)
-        self.kept.update(zip(words, [len(x.ids) for x in found], strict=True))
+        return {word: len(x.ids) for word, x in zip(words, found, strict=True)}
+
+    def _known(self, parts: list[list[bytes]]) -> dict[bytes, int]:
+        """The lengths of all words of parts; short words are kept, long ones only returned."""
+        if self.held > KEPT_BYTES:
+            self.kept, self.held = {}, 0
+        fresh, size, long_ = [], 0, {}
+
+        def encode() -> None:
+            for word, n in self._lengths(fresh).items():
+                if len(word) <= KEPT_WORD:
+                    self.kept[word] = n
+                    self.held += len(word) + ENTRY
+                else:
+                    long_[word] = n
 
-    def _learn(self, parts: list[list[bytes]]) -> None:
-        if len(self.kept) > CACHE:
-            self.kept.clear()
-        fresh, size = [], 0
         for word in set().union(*parts).difference(self.kept):
             fresh.append(word)
             size += len(word)
             if size > BATCH_BYTES:
-                self._encode(fresh)
+                encode()
                 fresh, size = [], 0
-        if fresh:
-            self._encode(fresh)
+        encode()
+        return ChainMap(self.kept, long_) if long_ else self.kept
 
     def many(self, texts: list[bytes]) -> list[int]:
         out = [0] * len(texts)
@@ -172,9 +135,9 @@ class WordLengths:
         size = 0
 
         def flush() -> None:
-            self._learn([words for _, words in waiting])
+            known = self._known([words for _, words in waiting])
             for i, words in waiting:
-                out[i] += sum(map(self.kept.__getitem__, words))
+                out[i] += sum(map(known.__getitem__, words))
             waiting.clear()
 
         for i, text in enumerate(texts):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 from operator import and_, or_
 
@@ -17,30 +18,44 @@ BASE = [("assign", ASSIGN, 12), ("access", r"AKIA[A-Z0-9]+", 18), ("hex", r"[0-9
 CLASSES = [
     ("entropy_hex", r"[0-9A-Fa-f]{32,}", "0123456789abcdefABCDEF", 32, 3.2, [r"[0-9]", r"[A-Fa-f]"]),
     ("entropy_base64", r"[A-Za-z0-9+/_=-]{24,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 24, 4.0, [r"[A-Z]", r"[a-z]", r"[0-9]"]),
+    ("entropy_lower", r"[a-z0-9]{24,}", "abcdefghijklmnopqrstuvwxyz0123456789", 24, 3.75, [r"[g-z]", r"[0-9]"]),
+    ("entropy_upper", r"[A-Z0-9]{24,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 24, 3.75, [r"[G-Z]", r"[0-9]"]),
 ]
 ALLOWED = [r"(?i)example", r"(?i)placeholder", r"^sha(1|256|384|512)-", r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"^(.)\1*$"]
 
 SPAN = "struct<kind:string,start:int,end:int,found:string>"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once: inside a lambda it is a variable."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running_totals(numbers: Column) -> Column:
+    """Inclusive running sums of an array, in as many passes as its size has binary digits."""
+    passes = F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(F.size(numbers) + F.lit(1))).cast("int"), F.lit(0)))
+
+    def step(sums: Column, k: Column) -> Column:
+        reach = F.pow(F.lit(2), k).cast("int")
+        return F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - reach), F.lit(0)))
+
+    return F.aggregate(passes, numbers, step)
+
+
 def matches(text: Column, kind: str, pattern: str) -> Column:
     """The leftmost non-overlapping matches as an array of SPAN, in code points.
 
     Spark extracts matches but not their places. Splitting at the same pattern
     gives the text between them, and running sums of both lengths the places.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    pairs = F.zip_with(F.slice(between, 1, F.greatest(F.size(found), F.lit(0))), found, lambda gap, hit: F.struct(F.char_length(gap).alias("gap"), hit.alias("hit")))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+    none = F.array().cast(f"array<{SPAN}>")
 
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + pair["gap"]
-        end = start + F.char_length(pair["hit"])
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), pair["hit"].alias("found"))
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+    def spans(found: Column) -> Column:
+        between = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(found)), lambda gap: F.char_length(gap))
+        steps = F.zip_with(between, found, lambda gap, hit: gap + F.char_length(hit))
+        return F.zip_with(running_totals(steps), found, lambda end, hit: F.struct(F.lit(kind).alias("kind"), (end - F.char_length(hit)).alias("start"), end.alias("end"), hit.alias("found")))
 
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.aggregate(pairs, empty, step)["spans"]).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.when(F.regexp_like(text, F.lit(pattern)), bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)).otherwise(none)
 
 
 def base_spans(text: Column) -> list[Column]:
@@ -57,33 +72,47 @@ def base_spans(text: Column) -> list[Column]:
     return [long_enough(*base) for base in BASE]
 
 
+SCALE = 1 << 40  # terms c * log2(c) are whole numbers of this fineness, so that sums never drift
+ZERO = 48  # the character that stands for a count of zero
+
+
 def high_windows(candidate: Column, alphabet: str, window: int, bits: float) -> Column:
     """(first, last): ends, from 1, of the first and last window of high entropy; 0 if none.
 
-    The fold keeps a count for each character of the class, and the sum of
-    c * log2(c). A step adds the entering character and takes the leaving one
-    out, so only two terms of the sum change; entropy is log2(window) less the
-    sum over the window's size.
+    The fold keeps the counts, as one string with a character for each member
+    of the class, and the sum of c * log2(c). A step reads and overlays two
+    counts, that of the entering character and that of the leaving one, so its
+    cost depends neither on the candidate's length nor on the window's; entropy
+    is log2(window) less the sum over the window's size.
     """
-    places = F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(alphabet), c))
-    terms = F.array(*[F.lit(c * math.log2(c) if c > 1 else 0.0) for c in range(window + 2)])
-    term = lambda n: F.element_at(terms, n + 1)
-    start = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("first"), F.lit(0).alias("last"))
-    most = (math.log2(window) - bits) * window
-
-    def step(state: Column, i: Column) -> Column:
-        enters = F.element_at(places, i)
-        leaves = F.when(i > window, F.element_at(places, i - window)).otherwise(0)
-        counts = F.transform(state["counts"], lambda c, k: c + F.when(k + 1 == enters, 1).otherwise(0) - F.when(k + 1 == leaves, 1).otherwise(0))
-        grown = F.element_at(state["counts"], enters)
-        added = state["sum"] + term(grown + 1) - term(grown)
-        # the leaving character's count includes the entering one, if they are the same
-        falls = F.when(leaves > 0, F.element_at(state["counts"], F.greatest(leaves, F.lit(1))) + F.when(leaves == enters, 1).otherwise(0))
-        total = F.when(leaves > 0, added + term(falls - 1) - term(falls)).otherwise(added)
-        high = (i >= window) & (total <= most)
-        return F.struct(counts.alias("counts"), total.alias("sum"), F.when(high & (state["first"] == 0), i).otherwise(state["first"]).alias("first"), F.when(high, i).otherwise(state["last"]).alias("last"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(candidate)), start, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+    terms = F.array(*[F.lit(round(c * math.log2(c) * SCALE) if c > 1 else 0).cast("long") for c in range(window + 2)])
+    most = math.floor(((math.log2(window) - bits) * window + 1e-9) * SCALE)
+    start = F.struct(F.lit(chr(ZERO) * len(alphabet)).alias("counts"), F.lit(0).cast("long").alias("sum"), F.lit(0).alias("i"), F.lit(0).alias("first"), F.lit(0).alias("last"))
+    count = lambda counts, place: F.ascii(F.substring(counts, place, F.lit(1))) - ZERO
+    put = lambda counts, place, n: F.overlay(counts, F.char(n + ZERO), place, F.lit(1))
+
+    def step(state: Column, move: Column) -> Column:
+        i = state["i"] + 1
+
+        def leave(s: Column) -> Column:  # the leaving character, where the window is full
+            falls = bound(count(s["counts"], move["leaves"]), lambda c: F.struct(put(s["counts"], move["leaves"], c - 1).alias("counts"), (s["sum"] - F.get(terms, c) + F.get(terms, c - 1)).alias("sum")))
+            return F.when(move["leaves"] > 0, falls).otherwise(s)
+
+        def enter(s: Column) -> Column:
+            return bound(count(s["counts"], move["enters"]), lambda c: F.struct(put(s["counts"], move["enters"], c + 1).alias("counts"), (s["sum"] + F.get(terms, c + 1) - F.get(terms, c)).alias("sum")))
+
+        def judge(s: Column) -> Column:
+            high = (i >= window) & (s["sum"] <= most)
+            return F.struct(s["counts"].alias("counts"), s["sum"].alias("sum"), i.alias("i"), F.when(high & (state["first"] == 0), i).otherwise(state["first"]).alias("first"), F.when(high, i).otherwise(state["last"]).alias("last"))
+
+        return bound(bound(leave(F.struct(state["counts"].alias("counts"), state["sum"].alias("sum"))), enter), judge)
+
+    def fold(places: Column) -> Column:
+        leaving = F.concat(F.array_repeat(F.lit(0), window), F.slice(places, 1, F.greatest(F.size(places) - window, F.lit(0))))
+        moves = F.zip_with(places, F.slice(leaving, 1, F.size(places)), lambda a, b: F.struct(a.alias("enters"), b.alias("leaves")))
+        return F.aggregate(moves, start, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+
+    return bound(F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(alphabet), c)), fold)
 
 
 def entropy_spans(text: Column, classes=CLASSES, allowed=ALLOWED) -> list[Column]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Collection, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from .common import components, first_linked, materialize, runs, small_arrow_batches, spread_hot
 
 BITS = 64
+CHUNK = 65_280
 
 
-def covering_masks(radius: int) -> list[int]:
-    """2 ** (radius + 1) - 1 masks of 64 bits, one of which misses any radius bits.
+def covering_masks(radius: int, bits: int = BITS) -> list[int]:
+    """2 ** (radius + 1) - 1 masks of that many bits, one of which misses any radius bits.
 
     Bit i carries the non-zero vector 1 + i mod (2 ** (radius + 1) - 1) over
     GF(2); the mask of a non-zero vector v holds the bits whose vector has an
@@ -25,31 +26,46 @@ def covering_masks(radius: int) -> list[int]:
     that differ in those bits alone agree under the mask of v.
     """
     tables = 2 ** (radius + 1) - 1
-    return [sum(1 << i for i in range(BITS) if ((1 + i % tables) & v).bit_count() % 2) for v in range(1, tables + 1)]
+    return [sum(1 << i for i in range(bits) if ((1 + i % tables) & v).bit_count() % 2) for v in range(1, tables + 1)]
 
 
-def fingerprint(text: bytes | None, words: int = 4, seed: int = 42) -> int:
-    """Majority of the bits of the shingles' XXH64; 0 for a text without words."""
+def shingle_digests(text: bytes | None, words: int, digest: Callable[[bytes], bytes]) -> Iterator[list[bytes]]:
+    """Digests of the runs of `words` words, in lists of CHUNK at most; none for a text without words."""
     tokens = (text or b"").lower().split()  # bytes: A-Z and ASCII white space only
-    if not tokens:
-        return 0
     line = b" ".join(tokens)
-    digest = xxhash.xxh64_digest
     if len(tokens) <= words:
-        return int.from_bytes(digest(line, seed), "big")
+        yield [digest(line)] if tokens else []
+        return
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
     firsts, lasts = starts[: len(tokens) - words + 1], ends[words - 1 :]
-    votes = np.zeros(BITS, np.int64)
-    for at in range(0, len(firsts), 65_280):
-        a, b = firsts[at : at + 65_280].tolist(), lasts[at : at + 65_280].tolist()
-        hashes = b"".join([digest(line[i:j], seed) for i, j in zip(a, b, strict=True)])
-        bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
+    for at in range(0, len(firsts), CHUNK):
+        a, b = firsts[at : at + CHUNK].tolist(), lasts[at : at + CHUNK].tolist()
+        yield [digest(line[i:j]) for i, j in zip(a, b, strict=True)]
+
+
+def majority(chunks: Iterable[Collection[bytes]], size: int) -> bytes:
+    """Of digests of `size` bytes, the bits that are set in over half of them."""
+    votes, n = np.zeros(8 * size, np.int64), 0
+    for chunk in chunks:
+        bits = np.unpackbits(np.frombuffer(b"".join(chunk), np.uint8).reshape(-1, size), axis=1)
         full = len(bits) // 255 * 255
-        votes += bits[:full].reshape(-1, 255, BITS).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+        votes += bits[:full].reshape(-1, 255, 8 * size).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
         votes += bits[full:].sum(axis=0, dtype=np.uint8)
-    return int.from_bytes(np.packbits(2 * votes > len(firsts)).tobytes(), "big")
+        n += len(bits)
+    return np.packbits(2 * votes > n).tobytes()
+
+
+def fingerprint(text: bytes | None, words: int = 4, seed: int = 42) -> int:
+    """Majority of the bits of the shingles' XXH64; 0 for a text without words."""
+    return int.from_bytes(majority(shingle_digests(text, words, lambda x: xxhash.xxh64_digest(x, seed)), 8), "big")
+
+
+def wide_fingerprint(text: bytes | None, words: int, seed: int = 42) -> bytes:
+    """Majority of the bits of the distinct shingles' 128-bit XXH3; zeros for a text without words."""
+    chunks = list(shingle_digests(text, words, lambda x: xxhash.xxh3_128_digest(x, seed)))
+    return majority([set().union(*chunks)], 16)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
@@ -93,7 +109,7 @@ def _links(radius: int):
     return near
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, seed: int = 42, block: int = 1024) -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, seed: int = 42, block: int = 1024, spread: int = 16) -> DataFrame:
     """(doc_id, fp, component_id) of every row: classes of linked fingerprints.
 
     Texts with fingerprints at radius differing bits or fewer are linked; a
@@ -101,7 +117,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     and are never paired: only distinct fingerprints enter the tables, each in
     all of them, under its bits of the table's mask. Groups larger than block
     are compared by pairs of blocks, and a group hands on a spanning forest of
-    its links, no pairs.
+    its links, no pairs. Rows of a hot fingerprint are named in `spread` parts.
 
     Null and empty texts have fingerprint 0 and link like any other; rows are
     kept as often as they are repeated; a null doc_id is never the smallest,
@@ -110,7 +126,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     prints = materialize(fingerprints(docs, id_col, text_col, words, seed), "fingerprints")
-    known = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct-fingerprints")
+    known = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
     signed = [m - (1 << 64) if m >> 63 else m for m in covering_masks(radius)]
     masks = F.array(*[F.lit(m).cast("long") for m in signed])
     members = known.filter("node is not null").select("fp", "node", F.posexplode(masks).alias("t", "mask"))
@@ -118,8 +134,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     groups = spread_hot(materialize(members, "masked"), ["t", "key"], "fp", block)
     edges = groups.select("t", "key", "_p1", "_p2", "_side", "fp", "node").mapInArrow(_links(radius), "a long, b long")
     roots = components(edges).select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-    named = known.join(roots, F.col("node") == F.col("_n"), "left").select(F.col("fp").alias("_fp"), F.coalesce("_r", "node").alias("component_id"))
-    return prints.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    named = known.join(roots, F.col("node") == F.col("_n"), "left").withColumn("_root", F.coalesce("_r", "node"))
+    # only shared fingerprints name another row; theirs may be hot, and are spread
+    shared = named.filter((F.col("n") > 1) | ~F.col("node").eqNullSafe(F.col("_root")))
+    shared = shared.select(F.col("fp").alias("_fp"), "_root", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("_s"))
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(spread)).cast("int")
+    met = prints.withColumn("_salt", salt).join(shared, (F.col("fp") == F.col("_fp")) & (F.col("_salt") == F.col("_s")), "left")
+    return met.select("doc_id", "fp", F.when(F.col("_fp").isNull(), F.col("doc_id")).otherwise(F.col("_root")).alias("component_id"))
 
 
 def fingerprint_hex(fp):

@@ -54,11 +54,20 @@ def small_arrow_batches(spark: SparkSession) -> None:
                 raise
 
 
+def few(df: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """df, to be broadcast if it has `most` rows or fewer; a stored table of short rows, for it is counted."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+#: Groups that a hot key is dealt into; fixed, so that results do not depend on a session's settings.
+SALTS = 64
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column], salts: int) -> DataFrame:
+def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column], salts: int = SALTS) -> DataFrame:
     """Adds, under each name in sums, the exclusive running total of a value within keys.
 
     The order is (hash of the order columns modulo salts, the order columns), so

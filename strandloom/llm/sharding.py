@@ -7,7 +7,7 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, prefix_sums
+from .common import materialize, prefix_sums
 
 
 def differencing(sizes: list[int], ways: int) -> list[int]:
@@ -74,5 +74,5 @@ def byte_balanced(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", tex
     rest = F.broadcast(spark.createDataFrame([(x[0], p) for x, p in zip(bundles, parts[len(single) :], strict=True)], "_bundle int, _bundle_shard int"))
     placed = rows.join(own, F.col("_text") == F.col("_own"), "left").join(rest, grain == F.col("_bundle"), "left")
     placed = placed.select("doc_id", "size", "text_crc32", F.coalesce("_own_shard", "_bundle_shard").alias("shard"))
-    slots = prefix_sums(materialize(placed, "placed"), ["shard"], ["doc_id", "text_crc32", "size"], {"slot": F.lit(1).cast("long")}, partitions(spark))
+    slots = prefix_sums(materialize(placed, "placed"), ["shard"], ["doc_id", "text_crc32", "size"], {"slot": F.lit(1).cast("long")})
     return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 
+from test_near_copies import brute, least_of_classes
+
 import corpus_pipeline
-from strandloom.llm import simhash, toxicity
+from strandloom.llm import toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -44,18 +46,9 @@ def test_stages(spark):
     assert want == {r.doc_id: r.text for r in after} and all(r.n_chars == len(r.text) for r in after)
 
     before, after = rows["simhash_dedup"]
-    prints = [(simhash.fingerprint(r.text.encode()), r.doc_id) for r in sorted(before)]
-    group = list(range(len(prints)))
-    changed = True
-    while changed:
-        changed = False
-        for i, (f, _) in enumerate(prints):
-            for j in range(i):
-                if group[i] != group[j] and (f ^ prints[j][0]).bit_count() <= 4:
-                    low, high = sorted((group[i], group[j]))
-                    group = [low if g == high else g for g in group]
-                    changed = True
-    assert sorted(r.doc_id for r in after) == sorted({prints[g][1] for g in group})
+    texts = [(r.doc_id, r.text) for r in before]
+    assert sorted(r.doc_id for r in after) == sorted(least_of_classes([i for i, _ in texts], brute(texts)))
+    assert set(after) <= set(before)
 
     before, after = rows["source_mixing"]
     words = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in before}

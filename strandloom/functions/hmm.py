@@ -5,20 +5,29 @@ Small helpers for Arrow functions: everything has models along the first axis.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 SMALL = 1e-8
 
 
 def generator_step(r: np.ndarray, c: np.ndarray, n: int = 2) -> np.ndarray:
-    """exp of the generator over not recombined, floating, and coalesced elsewhere."""
-    u = 0.5 * np.sqrt(np.maximum((c * n) ** 2 - 2 * c * (n - 2) * r + r**2, 0))
-    v, w = (r + c * n) / 2, (r - c * n) / 2
-    ratio = np.where(u < 1e-6, 1 + u**2 / 6, np.sinh(u) / np.where(u < 1e-6, 1, u))
-    a, b = np.exp(-v) * np.cosh(u), np.exp(-v) * ratio
+    """exp of the generator over not recombined, floating, and coalesced elsewhere.
+
+    The first two states have [[-r, r], [c, -c n]], with eigenvalues top and
+    top - 2 gap, both below zero. In exp(top) times the even and odd part of the
+    rest nothing grows, however long the step is.
+    """
+    half, product = (r + c * n) / 2, r * c * (n - 1)
+    gap = np.sqrt(np.maximum(half**2 - product, 0))
+    top = np.exp(-product / np.maximum(half + gap, 1e-300))  # their product over the lower one
+    even = (1 + np.exp(-2 * gap)) / 2
+    odd = np.where(gap < 1e-9, 1.0, -np.expm1(-2 * gap) / (2 * np.maximum(gap, 1e-9)))
     out = np.zeros((*r.shape, 3, 3))
-    out[..., 0, 0], out[..., 0, 1], out[..., 1, 0], out[..., 1, 1] = a - w * b, r * b, c * b, a + w * b
-    out[..., :2, 2] = 1 - out[..., :2, :2].sum(axis=-1)
+    out[..., 0, 0], out[..., 0, 1] = top * (even + (half - r) * odd), top * r * odd
+    out[..., 1, 0], out[..., 1, 1] = top * c * odd, top * (even + (half - c * n) * odd)
+    out[..., :2, 2] = np.maximum(1 - out[..., :2, :2].sum(axis=-1), 0)
     out[..., 2, 2] = 1
     return out
 
@@ -86,6 +95,59 @@ def log_likelihood(t: np.ndarray, c: np.ndarray, theta: np.ndarray, rho: np.ndar
     return total
 
 
+def tables_of(t: np.ndarray, c: np.ndarray, theta: np.ndarray, rho: np.ndarray) -> np.ndarray:
+    """(models, k): transition matrix, chance of no mutation, and start of each model, side by side."""
+    return np.concatenate([transition(t, c, rho).reshape(len(t), -1), np.exp(-theta[:, None] * expected_times(t, c)), start(t, c)], axis=1)
+
+
+def table_slopes(tables: np.ndarray, obs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The log-likelihood of all sequences for each model, and its slope in every number of tables_of().
+
+    One pass forward and one back; what a window adds to a slope is the chance
+    of what came before times that of what comes after.
+    """
+    k, n, width = len(tables), len(obs), obs.shape[1]
+    m = int(math.isqrt(tables.shape[1] + 1)) - 1
+    a, miss, first = tables[:, : m * m].reshape(k, m, m), tables[:, m * m : m * m + m], tables[:, m * m + m :]
+    emit = np.stack([miss, 1 - miss, np.ones_like(miss)], axis=1)
+    alpha, scale = np.empty((width + 1, k, n, m)), np.empty((width, k, n, 1))
+    alpha[0] = first[:, None]
+    for i in range(width):
+        step = alpha[i] @ a * emit[:, np.clip(obs[:, i], -1, 1)]
+        scale[i] = step.sum(axis=-1, keepdims=True)
+        alpha[i + 1] = step / scale[i]
+    beta = np.ones((k, n, m))
+    of_a, of_miss = np.zeros_like(a), np.zeros_like(miss)
+    back = a.transpose(0, 2, 1)
+    for i in range(width - 1, -1, -1):
+        after = beta / scale[i]
+        sign = np.where(obs[:, i] < 0, 0.0, np.where(obs[:, i] == 0, 1.0, -1.0))[None, :, None]
+        of_miss += (sign * after * (alpha[i] @ a)).sum(axis=1)
+        after = after * emit[:, np.clip(obs[:, i], -1, 1)]
+        of_a += alpha[i].transpose(0, 2, 1) @ after
+        beta = after @ back
+    return np.log(scale[..., 0]).sum(axis=(0, 2)), np.concatenate([of_a.reshape(k, -1), of_miss, beta.sum(axis=1)], axis=1)
+
+
+def likelihood_slopes(x: np.ndarray, theta: float, obs: np.ndarray, warm: int = 0, h: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+    """(particles,) and (particles, 18): the log-likelihood of all sequences after their warm-up, and its gradient.
+
+    The data are passed over once forward and once back for each particle; the
+    tables' slopes in the particles' numbers, where no data are needed, are
+    central differences.
+    """
+    tables = tables_of(*to_models(x, theta))
+    value, slope = table_slopes(tables, obs)
+    if warm:
+        early, of_early = table_slopes(tables, obs[:, :warm])
+        value, slope = value - early, slope - of_early
+    moves = h * np.eye(x.shape[1])
+    grad = np.empty_like(x)
+    for j, move in enumerate(moves):
+        grad[:, j] = (slope * (tables_of(*to_models(x + move, theta)) - tables_of(*to_models(x - move, theta)))).sum(axis=1) / (2 * h)
+    return value, grad
+
+
 def default_history(m: int = 16) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0.0], np.geomspace(1e-3, 15, m - 1)])[None], np.ones((1, m))
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def without_replacement(rows: DataFrame, keys: list[str], n: int, seed: int = 0) -> DataFrame:
-    """n rows, the first by the hash of their keys: a top-n, no full sort."""
-    return rows.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+    """n rows, the first by the hash of their keys and the seed: a top-n, no full sort."""
+    return rows.orderBy(F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))).cast("binary")), *keys).limit(n)
 
 
 def hold_out_first(contigs: DataFrame, order: str) -> DataFrame:

@@ -119,9 +119,9 @@ def p5(spark, d):
     return rows.select("o_orderkey", part(1).alias("contig"), part(2).cast("long").alias("lo"), part(3).cast("long").alias("hi"))
 
 
-@query("j12_dense_spine", f"WITH {HET}, w AS (SELECT max(win) AS m FROM het), s AS (SELECT DISTINCT contig, sample FROM het) SELECT s.contig, s.sample, CAST(r.range AS BIGINT) AS win, coalesce(n_het, CAST(0 AS BIGINT)) AS n_het FROM s CROSS JOIN range(0, 200) r LEFT JOIN het h ON h.contig = s.contig AND h.sample = s.sample AND h.win = r.range")
+@query("j12_dense_spine", f"WITH {HET}, w AS (SELECT max(win) AS m FROM het), s AS (SELECT DISTINCT contig, sample FROM het) SELECT s.contig, s.sample, CAST(r.range AS BIGINT) AS win, coalesce(n_het, CAST(0 AS BIGINT)) AS n_het FROM s CROSS JOIN (SELECT unnest(range(m + 1)) AS range FROM w) r LEFT JOIN het h ON h.contig = s.contig AND h.sample = s.sample AND h.win = r.range")
 def j12(spark, d):
-    return het.dense(a1(spark, d), 200, "n_het")
+    return het.dense(a1(spark, d), 1, "n_het")
 
 
 @query("j11_missing_samples", "SELECT CAST(c_custkey AS BIGINT) AS sample FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
@@ -137,8 +137,8 @@ def o3(spark, d):
 
 @query("o5_interval_subtract", f"""WITH {A.MASKS}, m1 AS (SELECT *, max(b) OVER (ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM masks),
  m2 AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (ORDER BY a, b) AS run FROM m1), m AS (SELECT min(a) AS a, max(b) AS b FROM m2 GROUP BY run),
- g AS (SELECT b AS a, lead(a) OVER (ORDER BY a) AS b FROM m UNION ALL SELECT CAST(0 AS BIGINT), min(a) FROM m)
- SELECT a, coalesce(b, CAST(1000000000 AS BIGINT)) AS b FROM g WHERE a < coalesce(b, CAST(1000000000 AS BIGINT))""")
+ g AS (SELECT b AS a, lead(a) OVER (ORDER BY a) AS b FROM m UNION ALL SELECT CAST(0 AS BIGINT), min(a) FROM m),
+ z AS (SELECT greatest(CAST(1000000000 AS BIGINT), max(b)) AS hi FROM masks) SELECT a, coalesce(b, hi) AS b FROM g, z WHERE a < coalesce(b, hi)""")
 def o5(spark, d):
     masks = A.masks(spark, d)
     end = F.greatest(F.max("b"), F.lit(1_000_000_000).cast("long"))
@@ -411,18 +411,22 @@ def m7(spark, d):
 
 @query("m12_stein_fit")
 def m12(spark, d):
-    """A small fit: twelve particles, two steps, over every user's chunks."""
+    """A short fit, of sixty particles and twelve steps, over every user's chunks; a whole one has 500 and 1000."""
     from ..operators import fit
 
     chunks = windows.packed(w1(spark, d), ["user_id"], 25)
     theta = max(a5(spark, d).first().theta or 0.0, 1e-6) * SIZE
-    return fit.posterior(spark, fit.fit(chunks, theta, 5, particles=12, iterations=2), theta)
+    return fit.posterior(spark, fit.fit(chunks, theta, 5, particles=60, iterations=12), theta)
 
 
-@query("m15_simultaneous_band")
+@query("m15_simultaneous_band", f"""WITH {A.ETA}, {GRID}, v AS (SELECT vec_id AS particle, round(x, 9) AS x, 1 / (2 * c) AS value FROM x JOIN eta ON t <= x AND (dt IS NULL OR x < t + dt)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY value, particle) AS nth, count(*) OVER (PARTITION BY x) AS n FROM v),
+ e AS (SELECT particle, min(least(nth, n - nth + 1)) AS depth, sum(least(nth, n - nth + 1)) AS total FROM r GROUP BY 1),
+ p AS (SELECT particle, percent_rank() OVER (ORDER BY depth DESC, total DESC, particle) AS place FROM e)
+ SELECT x, round(min(value), 6) AS lo, round(max(value), 6) AS hi FROM v JOIN p USING (particle) WHERE place <= 0.95e0 GROUP BY x""")
 def m15(spark, d):
     from ..operators.fit import simultaneous_band
 
     value = 1 / (2 * H.rate_at(F.col("t"), F.col("c"), F.col("x")))
     curves = on_grid(spark, d).select(F.col("vec_id").alias("particle"), "x", value.alias("value"))
-    return simultaneous_band(rounded(curves, "x", digits=9))
+    return rounded(simultaneous_band(rounded(curves, "x", digits=9)), "lo", "hi")

@@ -55,13 +55,15 @@ class Quantiser:
         return code @ (1 << np.arange(self.bits))
 
 
-def fit(sample: np.ndarray, rows: int, threshold: float, seed: int = 7, rounds: int = 25, miss: float = 0.002) -> Quantiser:
+def fit(sample: np.ndarray, rows: int, threshold: float, seed: int = 7, rounds: int = 25, miss: float = 0.002, most: int = 256) -> Quantiser:
     """Learns rotations, and as many tables as pairs at the threshold need.
 
-    A substring has about log2(rows) - 3 bits, so that buckets hold some eight
-    rows at any size. How often a bit differs between vectors at the threshold
-    is measured on perturbed copies of the sample; tables are added until the
-    share of such pairs that meet in none of them is below miss.
+    A substring has about log2(rows) - 3 bits, so that buckets of the largest
+    label hold some eight rows at any size. How often a bit differs between
+    vectors at the threshold is measured on perturbed copies of the sample;
+    tables are added until the share of such pairs that meet in none of them is
+    miss or less. Where `most` tables do not reach it, substrings get shorter,
+    bit by bit: buckets grow, and are cut into blocks, but no pair is given up.
     """
     rng = np.random.default_rng(seed)
     unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
@@ -70,15 +72,14 @@ def fit(sample: np.ndarray, rows: int, threshold: float, seed: int = 7, rounds:
     _, axes = np.linalg.eigh(centred.T @ centred)
     axes = axes[:, ::-1][:, :WORD]
     flat = centred @ axes
-    bits = int(min(20, max(4, round(math.log2(max(2, rows))) - 3)))
     noise = rng.normal(size=unit.shape)
     noise -= (noise * unit).sum(axis=1, keepdims=True) * unit
     size = np.linalg.norm(noise, axis=1, keepdims=True)
     near = threshold * unit + math.sqrt(1 - threshold**2) * noise / np.where(size > 0, size, 1)
     maps, cuts, apart = [], [], np.zeros((len(unit), 0), bool)
-    tables = 0
-    missed = np.ones(len(unit), bool)
-    while tables < 64 and (not tables or missed.mean() > miss):
+
+    def learn() -> None:
+        nonlocal apart
         turn, _ = np.linalg.qr(rng.normal(size=(flat.shape[1], flat.shape[1])))
         for _ in range(rounds):  # nearest binary codes, then the rotation nearest to them
             u, _, vt = np.linalg.svd(np.sign(flat @ turn).T @ flat, full_matrices=False)
@@ -87,10 +88,20 @@ def fit(sample: np.ndarray, rows: int, threshold: float, seed: int = 7, rounds:
         maps.append(full)
         cuts.append(np.median(centred @ full, axis=0))
         apart = np.concatenate([apart, (centred @ full > cuts[-1]) != ((near - mean) @ full > cuts[-1])], axis=1)
-        while (tables + 1) * bits <= apart.shape[1] and tables < 64 and (not tables or missed.mean() > miss):
-            missed &= apart[:, tables * bits : (tables + 1) * bits].any(axis=1)
-            tables += 1
-    return Quantiser(mean, np.array(maps), np.array(cuts), bits, tables)
+
+    wanted = min(31, max(4, round(math.log2(max(2, rows))) - 3))
+    for bits in range(wanted, 0, -1):
+        missed = np.ones(len(unit), bool)
+        for table in range(most):
+            while (table + 1) * bits > apart.shape[1]:
+                learn()
+            missed &= apart[:, table * bits : (table + 1) * bits].any(axis=1)
+            if missed.mean() <= miss:
+                return Quantiser(mean, np.array(maps), np.array(cuts), bits, table + 1)
+            # the share missed falls by a steady factor: give up a length that will not get there
+            if table >= 15 and missed.mean() > 0 and missed.mean() ** (most / (table + 1)) > 2 * miss:
+                break
+    raise ArithmeticError(f"{most} tables miss more than {miss} of the pairs at {threshold}")
 
 
 def _verify(threshold: float):
@@ -123,7 +134,7 @@ def _verify(threshold: float):
     return check
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label", block: int = 512, sample: int = SAMPLE) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label", block: int = 512, sample: int = SAMPLE, spread: int = 16) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
     Rows with one label whose vectors have a cosine of threshold or more, in
@@ -145,21 +156,26 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     label = F.col(label_col).cast("string") if label_col else F.lit("")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"), label.alias("label"))
     ready = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable(F.col("vector"))
-    nodes = materialize(rows.filter(ready).groupBy("label", "vector").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")), "vectors")
-    stats = nodes.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("labels")).first()
-    ties = rows.join(nodes.select(F.col("label").alias("_l"), F.col("vector").alias("_v"), "node", "copies"), (F.col("label") == F.col("_l")) & (F.col("vector") == F.col("_v")), "left").select("vec_id", "node", "copies")
+    rows = rows.withColumn("ready", F.coalesce(ready, F.lit(False)))
+    nodes = materialize(rows.filter("ready").groupBy("label", "vector").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")), "vectors")
+    stats = nodes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n"), F.max("n").alias("largest")).first()
+    # a vector without copies is its own node; the copies of others are looked up, the many of one in parts
+    repeated = nodes.filter("copies > 1").select(F.col("label").alias("_l"), F.col("vector").alias("_v"), F.col("node").alias("_node"), F.col("copies").alias("_copies"), F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("_s"))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("vec_id"), F.lit(spread)).cast("int"))
+    ties = salted.join(repeated, F.col("ready") & (F.col("label") == F.col("_l")) & (F.col("vector") == F.col("_v")) & (F.col("_salt") == F.col("_s")), "left")
+    ties = ties.select("vec_id", F.when(F.col("ready"), F.coalesce("_node", "vec_id")).alias("node"), F.coalesce("_copies", F.lit(1)).alias("copies"))
     if not stats.n:
         found = ties.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
         return found.withColumn("kept", F.lit(True))
     picked = nodes.orderBy(F.xxhash64("node"), "node").limit(sample).select("vector").toArrow()
-    model = fit(as_matrix(picked.column("vector")), stats.n // max(1, stats.labels), threshold)
+    model = fit(as_matrix(picked.column("vector")), stats.largest, threshold)
     width = len(model.mean)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             unit = as_matrix(batch.column(2), width)
             size = np.linalg.norm(unit, axis=1, keepdims=True)
-            keys = model.keys(unit / np.where(size > 0, size, 1)).astype(np.int32)
+            keys = model.keys(unit / np.where(size > 0, size, 1)).astype(np.int32)  # 31 bits at most
             flat = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, model.tables, dtype=np.int32), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, flat], [*batch.schema.names, "keys"])
 

@@ -70,6 +70,28 @@ def transition(t: np.ndarray, c: np.ndarray, rho: np.ndarray, n: int = 2) -> np.
     return out
 
 
+def revisit(t: np.ndarray, c: np.ndarray, at: float, r: float, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The event time at a distance r from where it is `at`: its density (models, points), and the chance of no change."""
+    ends = np.concatenate([t[:, 1:], np.full((len(t), 1), np.inf)], axis=1)
+
+    def until(x: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        span = np.maximum(np.minimum(ends, x) - t, 0)
+        steps = generator_step(span * r, span * c)
+        row = np.zeros((len(t), 1, 3))
+        row[:, 0, 0] = 1
+        for i in range(t.shape[1]):
+            row = row @ steps[:, i]
+        return row[:, 0, 0], row[:, 0, 1], (span * c).sum(axis=1)
+
+    apart, floating, hazard = until(at)
+    out = np.empty((len(t), len(points)))
+    for j, x in enumerate(points):
+        _, afloat, h = until(x)
+        rate = np.take_along_axis(c, np.maximum((t <= x).sum(axis=1) - 1, 0)[:, None], axis=1)[:, 0]
+        out[:, j] = rate * (afloat if x < at else floating * np.exp(hazard - h))
+    return out, apart
+
+
 def start(t: np.ndarray, c: np.ndarray) -> np.ndarray:
     h = np.concatenate([np.zeros((len(t), 1)), np.cumsum(np.diff(t, axis=-1) * c[:, :-1], axis=-1)], axis=1)
     alive = np.concatenate([np.exp(-h), np.zeros((len(t), 1))], axis=1)

@@ -45,3 +45,13 @@ def structured(histories: DataFrame, key: str, theta: float, rho: float) -> Data
     """
     names = {"i": "long"} | {x: "double" for x in ("b", "d", "u", "v", "emis0", "emis1", "pi")}
     return _by_model(histories, key, names, lambda t, c: hmm.structured(t, c, np.full(len(t), theta), np.full(len(t), rho)))
+
+
+def revisits(histories: DataFrame, key: str, at: float, r: float, points: np.ndarray) -> DataFrame:
+    """(key, k, density, atom): the event time's density at points[k] where it is `at` a distance r away, and the chance that it is the same."""
+
+    def compute(t: np.ndarray, c: np.ndarray) -> dict[str, np.ndarray]:
+        density, atom = hmm.revisit(t, c, at, r, points)
+        return {"density": density, "atom": np.repeat(atom[:, None], len(points), axis=1)}
+
+    return _by_model(histories, key, {"k": "long", "density": "double", "atom": "double"}, compute)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,24 +37,27 @@ def _carried(rows: DataFrame, value: str) -> DataFrame:
     return rows.join(tops.select("_t", F.max("_top").over(earlier).alias(name)), F.col("_s") == F.col("_t")).drop("_t")
 
 
-def buckets(masks: DataFrame, size: int) -> DataFrame:
-    """(win, a, b): the windows that each interval overlaps, by an equi-join key."""
+def buckets(masks: DataFrame, size: int, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, win, a, b): the windows that each interval overlaps, by an equi-join key."""
     whole = masks.filter("a < b")
-    return whole.select(F.explode(F.sequence(F.floor(F.col("a") / size).cast("long"), F.floor((F.col("b") - 1) / size).cast("long"))).alias("win"), "a", "b")
+    return whole.select(*keys, F.explode(F.sequence(F.floor(F.col("a") / size).cast("long"), F.floor((F.col("b") - 1) / size).cast("long"))).alias("win"), "a", "b")
+
 
+def outside(sites: DataFrame, masks: DataFrame, size: int = 4096, keys: Sequence[str] = ()) -> DataFrame:
+    """Sites in no interval: an anti-join on the bucket, the range checked within it.
 
-def outside(sites: DataFrame, masks: DataFrame, size: int = 4096) -> DataFrame:
-    """Sites in no interval: an anti-join on the bucket, the range checked within it."""
-    near = buckets(masks, size).withColumnRenamed("win", "_win")
+    With keys, such as the contig, a mask hides sites of its own keys only.
+    """
+    near = buckets(masks, size, keys).withColumnsRenamed({"win": "_win"} | {k: f"_k_{k}" for k in keys})
     site = sites.withColumn("_b", F.floor(F.col("pos") / size).cast("long"))
-    met = (F.col("_b") == F.col("_win")) & (F.col("pos") >= F.col("a")) & (F.col("pos") < F.col("b"))
+    met = reduce(and_, [F.col(k) == F.col(f"_k_{k}") for k in keys], F.lit(True)) & (F.col("_b") == F.col("_win")) & (F.col("pos") >= F.col("a")) & (F.col("pos") < F.col("b"))
     return site.join(near, met, "left_anti").drop("_b")
 
 
-def mask_windows(het: DataFrame, masks: DataFrame, size: int, value: str = "n_het") -> DataFrame:
-    """-1 in every window that overlaps an interval."""
-    hit = buckets(masks, size).select("win").distinct().withColumn("_hit", F.lit(True))
-    return het.join(hit, "win", "left").withColumn(value, F.when(F.col("_hit"), F.lit(-1)).otherwise(F.col(value)).cast("long")).drop("_hit")
+def mask_windows(het: DataFrame, masks: DataFrame, size: int, value: str = "n_het", keys: Sequence[str] = ()) -> DataFrame:
+    """-1 in every window that overlaps an interval, of the same keys if there are any."""
+    hit = buckets(masks, size, keys).select(*keys, "win").distinct().withColumn("_hit", F.lit(True))
+    return het.join(hit, [*keys, "win"], "left").withColumn(value, F.when(F.col("_hit"), F.lit(-1)).otherwise(F.col(value)).cast("long")).drop("_hit")
 
 
 def subtract(whole: DataFrame, masks: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,14 +14,18 @@ def chunk_count(length: int, chunk: int, overlap: int, cover_tail: bool = False)
     return max(1, math.ceil(n))
 
 
-def chunks(obs: DataFrame, keys: list[str], length: int, chunk: int, overlap: int, cover_tail: bool = False) -> DataFrame:
+def chunks(obs: DataFrame, keys: list[str], length: int | Column, chunk: int, overlap: int, cover_tail: bool = False) -> DataFrame:
     """(keys, k, slot, ob): overlapping slices; slice k starts at window k * chunk.
 
     Each row goes to the chunks that hold it by a generated sequence: no join.
+    length is a column where sequences differ in it.
     """
-    n = chunk_count(length, chunk, overlap, cover_tail)
+    if isinstance(length, Column):
+        n = F.greatest(F.ceil((length - overlap) / chunk if cover_tail else length / (chunk + overlap)), F.lit(1).cast("long"))
+    else:
+        n = F.lit(chunk_count(length, chunk, overlap, cover_tail))
     low = F.greatest(F.lit(0), F.ceil((F.col("win") - (chunk + overlap) + 1) / F.lit(chunk))).cast("long")
-    high = F.least(F.lit(n - 1), F.floor(F.col("win") / F.lit(chunk))).cast("long")
+    high = F.least(n - 1, F.floor(F.col("win") / F.lit(chunk))).cast("long")
     dealt = obs.withColumn("_lo", low).withColumn("_hi", high).filter("_lo <= _hi").withColumn("k", F.explode(F.sequence("_lo", "_hi")))
     clipped = F.greatest(F.lit(-1), F.least(F.lit(1), F.col("ob"))).cast("long")
     return dealt.select(*keys, "k", (F.col("win") - F.col("k") * chunk).cast("long").alias("slot"), clipped.alias("ob"))

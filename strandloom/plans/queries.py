@@ -399,16 +399,6 @@ def packed_users(spark, d):
     return windows.packed(rows, ["user_id"], A.WINDOWS)
 
 
-@query("m7_forward_likelihood")
-def m7(spark, d):
-    """The log-likelihood of each user's windows under the default history."""
-    from ..functions import hmm
-    from ..operators.fit import likelihoods
-
-    one = hmm.np.array([1e-2])
-    return likelihoods(packed_users(spark, d), (*hmm.default_history(), one, one), "user_id")
-
-
 @query("m12_stein_fit")
 def m12(spark, d):
     """A short fit, of sixty particles and twelve steps, over every user's chunks; a whole one has 500 and 1000."""

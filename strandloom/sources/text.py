@@ -15,13 +15,30 @@ def decode_symbols(rows: DataFrame, keys: list[str], sequence: str) -> DataFrame
     return symbols.select(*keys, F.col("_i").cast("long").alias("win"), ob.cast("long").alias("ob"))
 
 
-def read_psmcfa(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(file, contig, win, ob): one record a contig. A file is read as a whole, a record being of any length."""
+def psmcfa_sequences(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, record, contig, seq): a file's records by number. A file is read as a whole, a record being of any length."""
     whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value"))
-    records = whole.select("file", F.explode(F.split("value", ">")).alias("record")).filter(F.trim("record") != "")
-    header = F.regexp_extract("record", r"^(\S+)", 1)
-    body = F.regexp_replace(F.regexp_replace("record", r"^[^\n]*\n", ""), r"\s", "")
-    return decode_symbols(records.select("file", header.alias("contig"), body.alias("seq")), ["file", "contig"], "seq")
+    records = whole.select("file", F.posexplode(F.split("value", ">")).alias("record", "_text")).filter(F.trim("_text") != "")
+    header = F.regexp_extract("_text", r"^(\S+)", 1)
+    body = F.regexp_replace(F.regexp_replace("_text", r"^[^\n]*\n", ""), r"\s", "")
+    return records.select("file", "record", header.alias("contig"), body.alias("seq"))
+
+
+def read_psmcfa(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, contig, win, ob): one record a contig."""
+    return decode_symbols(psmcfa_sequences(spark, paths), ["file", "contig"], "seq")
+
+
+def vcf_lengths(spark: SparkSession, path: str) -> dict[str, int]:
+    """The contigs of the header and their lengths; those without a length are left out."""
+    return {r.contig: r.length for r in header_lengths(spark.read.text(path)).collect()}  # a row for each header line
+
+
+def header_lengths(lines: DataFrame) -> DataFrame:
+    """(contig, length) from the contig lines of a header."""
+    part = lambda key: F.regexp_extract("value", rf"[<,]{key}=([^,>]+)", 1)
+    rows = lines.filter(F.startswith("value", F.lit("##contig=<"))).select(part("ID").alias("contig"), part("length").try_cast("long").alias("length"))
+    return rows.filter(F.col("length").isNotNull())
 
 
 def vcf_samples(spark: SparkSession, path: str) -> list[str]:

@@ -194,3 +194,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
         F.coalesce("_root", "node", "vec_id").alias("component_id"),
     )
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+#: The links of near_duplicates() over all pairs of a label; for tables on which that many pairs can be compared.
+ORACLE = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE label IS NOT NULL AND list_count(embedding) = len(embedding) AND list_bool_and(list_transform(embedding, lambda e: isfinite(e))) AND list_bool_or(list_transform(embedding, lambda e: e <> 0))),
+ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.93e0),
+ r AS (SELECT vec_id AS node, vec_id AS root FROM embeddings UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node),
+ c AS (SELECT node, min(root) AS root FROM r GROUP BY 1), n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+ SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, CAST(root AS BIGINT) AS component_id, vec_id = root AS kept FROM embeddings JOIN c ON node = vec_id LEFT JOIN n ON a = vec_id"""

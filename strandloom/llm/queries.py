@@ -56,4 +56,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_packing, op3_line_dedup, op4_secret_scan, op5_sharding, op6_token_counts, op7_mixing, op8_nearest, op9_toxicity, op10_simhash)}
-ORACLE_SQL = {"op3_line_dedup": lines.ORACLE, "op7_mixing": mixing.ORACLE}
+ORACLE_SQL = {"op1_embedding_dedup": embeddings.ORACLE, "op3_line_dedup": lines.ORACLE, "op7_mixing": mixing.ORACLE}

@@ -163,4 +163,4 @@ def h20(spark, d):
 def g2(spark, d):
     x = F.col("x")
     rows = A.table(spark, d, "embeddings").select("vec_id", (F.abs(F.element_at("embedding", 1).cast("double")) + 0.1).alias("x"))
-    return rounded(rows.select("vec_id", H.expm1inv(x).alias("expm1inv"), F.log1p(F.exp(x)).alias("softplus"), H.softplus_inv(x).alias("softplus_inv"), (1 / (1 + F.exp(-x))).alias("expit")), "expm1inv", "softplus", "softplus_inv", "expit")
+    return rounded(rows.select("vec_id", H.expm1inv(x).alias("expm1inv"), H.softplus(x).alias("softplus"), H.softplus_inv(x).alias("softplus_inv"), (1 / (1 + F.exp(-x))).alias("expit")), "expm1inv", "softplus", "softplus_inv", "expit")

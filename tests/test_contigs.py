@@ -133,3 +133,18 @@ def test_bands(spark):
     for k, x in enumerate(grid):
         size = np.array([1 / (2 * c[i, np.searchsorted(t[i], x * (1 + 1e-12), side="right") - 1]) for i in range(30)])
         assert [got[k].x, got[k].median, got[k].lo, got[k].hi] == pytest.approx([x, *np.quantile(size, [0.5, 0.025, 0.975])])
+
+
+def test_patterns_and_large_numbers(spark):
+    from pyspark.sql import functions as F
+
+    from strandloom.functions import history as H
+
+    one = spark.range(1)
+    assert one.select(H.expand_pattern(F.lit("2*1 + 1*3+4"))).first()[0] == [1, 1, 3, 4]
+    for bad in ("", "2*", "0*1", "2*0", "a", "1++1"):
+        with pytest.raises(Exception, match="not a pattern"):
+            one.select(H.expand_pattern(F.lit(bad).cast("string"))).collect()
+    assert one.select(H.softplus(F.lit(1e4)), H.softplus(F.lit(-1e4)), H.softplus(F.lit(0.0))).first() == (1e4, 0.0, pytest.approx(np.log(2)))
+    grid = one.select(H.pattern_grid(F.lit("14*1+1*2"))).first()[0]
+    assert grid == pytest.approx([0, *np.geomspace(1e-3, 15, 15)])

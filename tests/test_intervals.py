@@ -37,3 +37,15 @@ def test_places(spark):
     df = spark.createDataFrame([(k,) for k in keys], "node long")
     got = {r.node: r.new for r in ordering.places(df, "node", "new", 64).collect()}
     assert got == {k: i for i, k in enumerate(sorted(keys))}
+
+
+def test_ranks_within_a_hot_key(spark):
+    rng = random.Random(2)
+    rows = [("hot" if i % 10 else "cold", rng.choice([0.0, 1.0, rng.random()]), i) for i in range(2000)] + [("one", 5.0, 1)]
+    df = spark.createDataFrame(rows, "k string, v double, i long")
+    got = {(r.k, r.i): (r.nth, r.nth_of) for r in ordering.ranks(df, ["k"], ["v", "i"], "nth", 8).collect()}
+    want = {}
+    for key in ("hot", "cold", "one"):
+        own = sorted((v, i) for k, v, i in rows if k == key)
+        want |= {(key, i): (n + 1, len(own)) for n, (_, i) in enumerate(own)}
+    assert got == want

@@ -36,7 +36,7 @@ def expected_times(t: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Expected event time within each piece; the last is open."""
     dt = np.diff(t, axis=-1)
     x = c[..., :-1] * dt
-    inner = np.where(x < 1e-6, t[..., :-1] + dt / 2, 1 / c[..., :-1] + t[..., :-1] - dt / np.expm1(np.maximum(x, 1e-300)))
+    inner = np.where(x < 1e-6, t[..., :-1] + dt / 2, 1 / c[..., :-1] + t[..., :-1] - dt / np.expm1(np.clip(x, 1e-300, 700)))
     inner = np.where(c[..., :-1] > 100, t[..., :-1], inner)
     return np.maximum(np.concatenate([inner, t[..., -1:] + 1 / c[..., -1:]], axis=-1), 1e-20)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, embeddings, lines, mixing, neighbours, packing, secrets, sharding, simhash, tokens, toxicity
+from . import audit, embeddings, lines, mixing, negatives, neighbours, packing, secrets, sharding, simhash, tokens, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,5 +59,13 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_packing, op3_line_dedup, op4_secret_scan, op5_sharding, op6_token_counts, op7_mixing, op8_nearest, op9_toxicity, op10_simhash, op11_filter_audit)}
-ORACLE_SQL = {"op1_embedding_dedup": embeddings.ORACLE, "op3_line_dedup": lines.ORACLE, "op7_mixing": mixing.ORACLE, "op11_filter_audit": audit.ORACLE}
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_packing, op3_line_dedup, op4_secret_scan, op5_sharding, op6_token_counts, op7_mixing, op8_nearest, op9_toxicity, op10_simhash, op11_filter_audit, op12_hard_negatives, op13_warc)}
+ORACLE_SQL = {"op1_embedding_dedup": embeddings.ORACLE, "op3_line_dedup": lines.ORACLE, "op7_mixing": mixing.ORACLE, "op11_filter_audit": audit.ORACLE, "op12_hard_negatives": negatives.ORACLE, "op13_warc": warc.ORACLE}

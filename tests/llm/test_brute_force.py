@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from strandloom.llm import embeddings, sharding, toxicity
+from strandloom.llm.common import first_linked
 
 SF = "/root/testdata/sf0.01"
 
@@ -59,21 +60,34 @@ def test_toxicity_model_and_scores(spark):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == (r.score >= 0.3)
 
 
-def test_links_of_every_twentieth_vector_on_a_larger_table(spark):
-    rows = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").select("vec_id", "embedding", "label").collect()
+def test_links_of_perturbed_copies(spark):
+    """Every vector of the table, and 19 more beside each at cosines from 0.88 to 1."""
+    rng, rows = np.random.default_rng(5), []
+    given = spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").collect()
+    for r in given:
+        v = np.array(r.embedding, float)
+        v /= np.linalg.norm(v)
+        rows.append((len(rows), v.astype(np.float32).tolist(), r.label))
+        for _ in range(19):
+            aside = rng.normal(size=len(v))
+            aside -= (aside @ v) * v
+            cosine = rng.uniform(0.94, 1)
+            near = cosine * v + math.sqrt(1 - cosine**2) * aside / np.linalg.norm(aside)
+            rows.append((len(rows), near.astype(np.float32).tolist(), r.label))
+    rows += [(len(rows) + i, rows[0][1], rows[0][2]) for i in range(300)]  # a hot vector
     by_label = defaultdict(list)
-    for r in rows:
-        v = r.embedding
-        if r.label is not None and v and None not in v and np.isfinite(v).all() and np.any(v):
-            by_label[r.label].append((r.vec_id, v))
-    want = {r.vec_id: 0 for r in rows if r.vec_id % 20 == 0}
+    for i, v, label in rows:
+        by_label[label].append((i, v))
+    want, root = {}, {}
     for held in by_label.values():
-        ids, unit = np.array([i for i, _ in held]), np.array([v for _, v in held], float)
+        ids, unit = np.array([i for i, _ in held]), np.array([v for _, v in held], np.float32).astype(float)
         unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-        asked = np.flatnonzero(ids % 20 == 0)
-        for block in np.array_split(asked, max(1, len(asked) // 256)):
-            near = (unit[block] @ unit.T >= 0.93).sum(axis=1) - 1
-            want |= dict(zip(ids[block].tolist(), near.tolist(), strict=True))
-    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(spark.read.parquet("/root/testdata/check_s/embeddings.parquet")).filter("vec_id % 20 = 0").collect()}
-    assert got.keys() == want.keys() and all(got[i] <= want[i] for i in want)
-    assert sum(got.values()) >= 0.95 * sum(want.values())
+        linked = unit @ unit.T >= 0.93
+        want |= dict(zip(ids.tolist(), (linked.sum(axis=1) - 1).tolist(), strict=True))
+        root |= dict(zip(ids.tolist(), ids[first_linked(linked)].tolist(), strict=True))
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r for r in embeddings.near_duplicates(table).collect()}
+    assert got.keys() == want.keys() and all(got[i].n_links <= want[i] for i in want)
+    assert sum(want.values()) > 50_000
+    assert sum(r.n_links for r in got.values()) >= 0.99 * sum(want.values())
+    assert sum(got[i].component_id == root[i] for i in root) >= 0.99 * len(root)

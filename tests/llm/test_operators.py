@@ -188,7 +188,7 @@ def test_lines(request, which):
             if line.strip(" ") and r.source is not None:
                 sites[line].add(r.source)
     common = {x for x, s in sites.items() if len(s) >= limit}
-    got = lines.without_boilerplate(df, min_sites=limit).collect()
+    got = lines.without_boilerplate(df, tiers=((0, limit),)).collect()
     assert len(got) == len(rows)
     kept = Counter(x for text in {(r.doc_id, r.text) for r in got} for x in (text[1] or "").split("\n"))
     assert all(kept[x] == 1 for x in common)
@@ -198,11 +198,24 @@ def test_lines(request, which):
 
 def test_near_threshold_is_exact(spark):
     rows = [(i, f"shared {k}\nown {i} {k}", f"s{i % k}") for k in (8, 9, 10, 11) for i in range(100 * k, 100 * k + 3 * k)]
-    found = lines.without_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_sites=10).collect()
+    found = lines.without_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string"), tiers=((0, 10),)).collect()
     gone = Counter(r.text.split(" ")[-1] for r in found if r.n_removed)
     assert gone == {"10": 29, "11": 32}
 
 
+@pytest.mark.parametrize(("words", "sites"), [(2, 10), (3, 5), (49, 5), (50, 3)])
+def test_sites_by_length(spark, words, sites):
+    """A passage of few rows in a table whose one source has a third of them."""
+    rows = []
+    for spread in (sites - 1, sites):
+        line = " ".join(f"{x}of{spread}" for x in range(words))
+        rows += [(1000 * spread + i, f"own {i} of {spread}\n{line}", f"s{i}") for i in range(spread)]
+        rows += [(1000 * spread + 500 + i, f"hot {i} of {spread}\n{line}", "s0") for i in range(7)]
+    rows += [(10**6 + i, f"filler {i}", "s0") for i in range(40)]
+    found = lines.without_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted(r.doc_id for r in found if r.n_removed) == sorted(i for i, text, _ in rows if text.endswith(f"of{sites}") and i != 1000 * sites)
+
+
 # Secrets
 
 

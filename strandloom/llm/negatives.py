@@ -102,6 +102,18 @@ class Search:
             self.tested[segments][1] += before - int(open_.sum())
         return open_
 
+    def scores(self, anchors: np.ndarray, rows: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Exact scores of the wanted pairs: pair by pair where few are left, else of all in one product."""
+        i, j = np.nonzero(wanted)
+        most = 0 if anchors.dtype == object or rows.dtype == object else np.abs(anchors).max(initial=0) * np.abs(rows).max(initial=0) * anchors.shape[1]
+        if len(i) * 8 > wanted.size or not 0 < most < EXACT:
+            self.scored += wanted.size
+            return inner(anchors, rows)
+        self.scored += len(i)
+        out = np.zeros(wanted.shape, np.int64)
+        out[i, j] = np.einsum("pd,pd->p", anchors[i], rows[j]).astype(np.int64)
+        return out
+
     def first(self, anchors: np.ndarray, low: np.ndarray, high: np.ndarray, allowed: Callable[[slice, slice], np.ndarray]) -> list[tuple[int, int, int, int]]:
         """(anchor, range, id, score) of the k first in each range from low to high, both anchors x ranges.
 
@@ -126,8 +138,7 @@ class Search:
                 if not len(near):
                     continue
                 wanted, rows, ids = wanted[:, near], rows[near], ids[near]
-                self.scored += wanted.size
-                score = inner(own, rows)
+                score = self.scores(own, rows, wanted)
                 wanted = wanted & (score >= least[:, None]) & (score <= most[:, None])
                 for i in np.flatnonzero(wanted.any(axis=1)).tolist():
                     j = np.flatnonzero(wanted[i])

@@ -155,7 +155,7 @@ def m5(spark, d):
  fwd AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS win, pi AS alpha, 0e0 AS ll FROM obs, vec UNION ALL
   SELECT user_id, win + 1, list_transform(x, lambda v: v / list_sum(x)), ll + ln(list_sum(x)) FROM (SELECT fwd.user_id, fwd.win, ll,
    list_transform(range(1, 17), lambda j: list_dot_product(alpha, cols[j]) * CASE ob WHEN 0 THEN miss[j] WHEN 1 THEN 1 - miss[j] ELSE 1e0 END) AS x FROM fwd JOIN obs ON obs.user_id = fwd.user_id AND obs.win = fwd.win, tab, vec) y)
- SELECT user_id, round(ll, 6) AS ll FROM fwd WHERE win = {A.WINDOWS}""")
+ SELECT user_id, round(ll, 6) AS ll FROM fwd, ext WHERE win = windows""")
 def m7(spark, d):
     """The log-likelihood of each user's windows under the default history."""
     one = np.array([1e-2])

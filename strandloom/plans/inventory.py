@@ -96,19 +96,21 @@ def o4(spark, d):
     return one.unionByName(two)
 
 
-@query("b2_strided_slices", f"WITH {A.OBS}, k AS (SELECT CAST(range AS BIGINT) AS k FROM range(0, 5)) SELECT user_id, k, array_to_string(list(ob ORDER BY win), ',') AS obs FROM obs JOIN k ON win >= k * 20 AND win < k * 20 + 25 GROUP BY 1, 2")
+@query("b2_strided_slices", f"WITH {A.OBS}, k AS (SELECT CAST(unnest(range(greatest(1, CAST(ceil(windows / 25e0) AS BIGINT)))) AS BIGINT) AS k FROM ext) SELECT user_id, k, array_to_string(list(ob ORDER BY win), ',') AS obs FROM obs JOIN k ON win >= k * 20 AND win < k * 20 + 25 GROUP BY 1, 2")
 def b2(spark, d):
     """Overlapping slices of sequences that are stored as arrays."""
-    whole = windows.packed(A.observations(spark, d).select("user_id", F.lit(0).alias("k"), F.col("win").alias("slot"), "ob"), ["user_id"], A.WINDOWS)
-    cut = whole.select("user_id", "obs", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("k"))
+    length = A.window_count(spark, d)
+    whole = windows.packed(A.observations(spark, d).select("user_id", F.lit(0).alias("k"), F.col("win").alias("slot"), "ob"), ["user_id"], length)
+    cut = whole.select("user_id", "obs", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(windows.chunk_count(length, 20, 5) - 1).cast("long"))).alias("k"))
     return cut.select("user_id", "k", F.array_join(F.slice("obs", (F.col("k") * 20 + 1).cast("int"), F.lit(25)).cast("array<string>"), ",").alias("obs"))
 
 
 @query("b8_split_warm_up", f"WITH {A.OBS} SELECT user_id, CAST(sum(CASE WHEN win < 5 THEN ob ELSE 0 END) AS BIGINT) AS warm, CAST(sum(CASE WHEN win >= 5 THEN ob ELSE 0 END) AS BIGINT) AS rest FROM obs GROUP BY 1")
 def b8(spark, d):
-    whole = windows.packed(A.observations(spark, d).select("user_id", F.lit(0).alias("k"), F.col("win").alias("slot"), "ob"), ["user_id"], A.WINDOWS)
+    length = A.window_count(spark, d)
+    whole = windows.packed(A.observations(spark, d).select("user_id", F.lit(0).alias("k"), F.col("win").alias("slot"), "ob"), ["user_id"], length)
     total = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda s, v: s + v)
-    return whole.select("user_id", total(F.slice("obs", 1, 5)).alias("warm"), total(F.slice("obs", 6, A.WINDOWS)).alias("rest"))
+    return whole.select("user_id", total(F.slice("obs", 1, 5)).alias("warm"), total(F.slice("obs", 6, length)).alias("rest"))
 
 
 @query("s1_source_kinds", r"WITH p AS (SELECT o_orderkey, 'run' || o_custkey || CASE o_orderkey % 6 WHEN 0 THEN '.vcf' WHEN 1 THEN '.vcf.gz' WHEN 2 THEN '.bcf' WHEN 3 THEN '.trees' WHEN 4 THEN '.tsz' ELSE '.psmcfa' END AS path FROM orders) SELECT o_orderkey, CASE WHEN regexp_matches(path, '\.(vcf|vcf\.gz|bcf)$') THEN 'vcf' WHEN regexp_matches(path, '\.(trees|ts)$') THEN 'trees' WHEN regexp_matches(path, '\.(tsz|tszip)$') THEN 'compressed trees' ELSE 'other' END AS kind FROM p")

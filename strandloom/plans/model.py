@@ -15,7 +15,7 @@ from .registry import query
 
 def transition_sql(pieces: str = "eta", rho: float = 1e-2) -> str:
     """ect, gen, f and a(vec_id, i, j, p): transition matrices of pieces(vec_id, i, t, dt, c, h), stepped through from boundary to expected time."""
-    return f"""ect AS (SELECT *, greatest(CASE WHEN dt IS NULL THEN t + 1 / c WHEN c > 100 THEN t WHEN c * dt < 1e-6 THEN t + dt / 2 ELSE 1 / c + t - dt / (2 * exp(c * dt / 2) * sinh(c * dt / 2)) END, 1e-20) AS e FROM {pieces}),
+    return f"""ect AS MATERIALIZED (SELECT *, greatest(CASE WHEN dt IS NULL THEN t + 1 / c WHEN c > 100 THEN t WHEN c * dt < 1e-6 THEN t + dt / 2 ELSE 1 / c + t - dt / (2 * exp(c * dt / 2) * sinh(c * dt / 2)) END, 1e-20) AS e FROM {pieces}),
  legs AS (SELECT vec_id, 2 * i AS s, 2 * (e - t) * {rho!r} AS r, (e - t) * c AS q FROM ect UNION ALL SELECT vec_id, 2 * i + 1, 2 * (t + dt - e) * {rho!r}, (t + dt - e) * c FROM ect WHERE dt IS NOT NULL),
  {steps_sql("legs", "vec_id, s")},
  f AS (SELECT DISTINCT vec_id, CAST(0 AS BIGINT) AS s, 1e0 AS f0, 0e0 AS f1, 0e0 AS f2 FROM ect UNION ALL
@@ -23,8 +23,8 @@ def transition_sql(pieces: str = "eta", rho: float = 1e-2) -> str:
  p0 AS (SELECT ect.vec_id, i, m.f0 + m.f1 * (1 - CASE WHEN dt IS NULL THEN 0e0 ELSE exp(-(t + dt - e) * c) END) + m.f2 - b.f2 AS own, CASE WHEN dt IS NULL THEN 1e0 ELSE coalesce(n.f2, 1e0) END - b.f2 AS low,
    least(greatest(m.f1 * CASE WHEN dt IS NULL THEN 0e0 ELSE exp(-(t + dt - e) * c) END, 1e-8), 1 - 1e-8) AS past, CASE WHEN dt IS NULL THEN 0e0 ELSE exp(-dt * c) END AS stay
   FROM ect JOIN f b ON b.vec_id = ect.vec_id AND b.s = 2 * i JOIN f m ON m.vec_id = ect.vec_id AND m.s = 2 * i + 1 LEFT JOIN f n ON n.vec_id = ect.vec_id AND n.s = 2 * i + 2),
- p1 AS (SELECT *, sum(ln(least(greatest(stay, 1e-8), 1 - 1e-8))) OVER (PARTITION BY vec_id ORDER BY i) AS upto, least(greatest(1 - stay, 1e-8), 1 - 1e-8) AS go FROM p0),
- a AS (SELECT x.vec_id, x.i, y.i AS j, CASE WHEN y.i < x.i THEN y.low WHEN y.i = x.i THEN x.own ELSE x.past * exp(coalesce(z.upto, 0e0) - x.upto) * y.go END AS p
+ p1 AS MATERIALIZED (SELECT *, sum(ln(least(greatest(stay, 1e-8), 1 - 1e-8))) OVER (PARTITION BY vec_id ORDER BY i) AS upto, least(greatest(1 - stay, 1e-8), 1 - 1e-8) AS go FROM p0),
+ a AS MATERIALIZED (SELECT x.vec_id, x.i, y.i AS j, CASE WHEN y.i < x.i THEN y.low WHEN y.i = x.i THEN x.own ELSE x.past * exp(coalesce(z.upto, 0e0) - x.upto) * y.go END AS p
   FROM p1 x JOIN p1 y ON y.vec_id = x.vec_id LEFT JOIN p1 z ON z.vec_id = y.vec_id AND z.i = y.i - 1)"""
 
 
@@ -32,7 +32,7 @@ def steps_sql(legs: str, keys: str) -> str:
     """gen(keys, s00, s01, s10, s11): the exponential of [[-r, r], [q, -2 q]] for each of legs(keys, r, q)."""
     return f"""g0 AS (SELECT {keys}, r, q, (r + 2 * q) / 2 AS half, sqrt(greatest((r + 2 * q) * (r + 2 * q) / 4 - r * q, 0e0)) AS gap FROM {legs}),
  g1 AS (SELECT *, exp(-r * q / greatest(half + gap, 1e-300)) AS top, (1 + exp(-2 * gap)) / 2 AS even, CASE WHEN gap < 1e-9 THEN 1e0 ELSE exp(-gap) * sinh(gap) / gap END AS odd FROM g0),
- gen AS (SELECT {keys}, top * (even + (half - r) * odd) AS s00, top * r * odd AS s01, top * q * odd AS s10, top * (even + (half - 2 * q) * odd) AS s11 FROM g1)"""
+ gen AS MATERIALIZED (SELECT {keys}, top * (even + (half - r) * odd) AS s00, top * r * odd AS s01, top * q * odd AS s10, top * (even + (half - 2 * q) * odd) AS s11 FROM g1)"""
 
 
 ON_GRID = f"{A.ETA}, {GRID}, met AS (SELECT vec_id, i, x, t, c, h FROM x JOIN eta ON t <= x AND (dt IS NULL OR x < t + dt))"

@@ -157,12 +157,12 @@ def a7(spark, d):
     return size.agg(F.sum(F.col("n") * F.col("p")).cast("long").alias("total"))
 
 
-CHUNKED = f"{A.OBS}, chunks AS (SELECT user_id, CAST(r.range AS BIGINT) AS k, CAST(win - r.range * 20 AS BIGINT) AS slot, ob FROM obs, range(0, 5) r WHERE win >= r.range * 20 AND win < r.range * 20 + 25)"
+CHUNKED = f"{A.OBS}, ks AS (SELECT unnest(range(greatest(1, CAST(ceil(windows / 25e0) AS BIGINT)))) AS k FROM ext), chunks AS (SELECT user_id, CAST(k AS BIGINT) AS k, CAST(win - k * 20 AS BIGINT) AS slot, ob FROM obs, ks WHERE win >= k * 20 AND win < k * 20 + 25)"
 
 
 @query("w1_chunks", f"WITH {CHUNKED} SELECT * FROM chunks")
 def w1(spark, d):
-    return windows.chunks(A.observations(spark, d), ["user_id"], A.WINDOWS, 20, 5)
+    return windows.chunks(A.observations(spark, d), ["user_id"], A.window_count(spark, d), 20, 5)
 
 
 @query("b1_packed_chunks", f"WITH {CHUNKED} SELECT user_id, k, array_to_string(list(ob ORDER BY slot), ',') AS obs FROM chunks GROUP BY 1, 2")
@@ -186,12 +186,12 @@ def w6(spark, d):
     return windows.change_points(A.observations(spark, d), "user_id", "win", "ob")
 
 
-@query("w8_ema", f"WITH RECURSIVE {A.OBS}, e AS (SELECT user_id, win, CAST(ob AS DOUBLE) AS ema FROM obs WHERE win = 0 UNION ALL SELECT o.user_id, o.win, e.ema * 0.9e0 + o.ob * (1 - 0.9e0) FROM e JOIN obs o ON o.user_id = e.user_id AND o.win = e.win + 1) SELECT user_id, round(ema, 6) AS ema FROM e WHERE win = {A.WINDOWS - 1}")
+@query("w8_ema", f"WITH RECURSIVE {A.OBS}, e AS (SELECT user_id, win, CAST(ob AS DOUBLE) AS ema FROM obs WHERE win = 0 UNION ALL SELECT o.user_id, o.win, e.ema * 0.9e0 + o.ob * (1 - 0.9e0) FROM e JOIN obs o ON o.user_id = e.user_id AND o.win = e.win + 1) SELECT user_id, round(ema, 6) AS ema FROM e, ext WHERE win = windows - 1")
 def w8(spark, d):
     return windows.smoothed(A.observations(spark, d), "user_id", "win", "ob").select("user_id", F.round("ema", 6).alias("ema"))
 
 
-@query("s12_psmcfa_decode", f"WITH {A.OBS}, s AS (SELECT user_id, string_agg(CASE ob WHEN 1 THEN 'K' WHEN -1 THEN 'N' ELSE 'T' END, '' ORDER BY win) AS seq FROM obs GROUP BY 1) SELECT user_id, CAST(i.range AS BIGINT) AS win, CAST(CASE seq[i.range + 1] WHEN 'K' THEN 1 WHEN 'N' THEN -1 ELSE 0 END AS BIGINT) AS ob FROM s, range(0, {A.WINDOWS}) i")
+@query("s12_psmcfa_decode", f"WITH {A.OBS}, s AS (SELECT user_id, string_agg(CASE ob WHEN 1 THEN 'K' WHEN -1 THEN 'N' ELSE 'T' END, '' ORDER BY win) AS seq FROM obs GROUP BY 1) SELECT user_id, CAST(i.range AS BIGINT) AS win, CAST(CASE seq[i.range + 1] WHEN 'K' THEN 1 WHEN 'N' THEN -1 ELSE 0 END AS BIGINT) AS ob FROM s, (SELECT unnest(range(windows)) AS range FROM ext) i")
 def s12(spark, d):
     from ..sources.text import decode_symbols
 
@@ -306,10 +306,11 @@ def neighbours(spark, d):
     return one.join(two.select("vec_id").distinct(), "vec_id", "left_semi"), two
 
 
-@query("h17_tv", f"""WITH {A.ETA}, {PAIRED}, a AS (SELECT *, coalesce(sum(c1 * dt) OVER o, 0e0) AS b1, coalesce(sum(c2 * dt) OVER o, 0e0) AS b2 FROM k WINDOW o AS (PARTITION BY vec_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
- x AS (SELECT *, greatest(0e0, least(coalesce(dt, 1e300), CASE WHEN abs(c1 - c2) <= 1e-8 + 1e-5 * abs(c2) THEN 0e0 ELSE (ln(c1 / c2) + b2 - b1) / (c1 - c2) END)) AS u FROM a),
- y AS (SELECT vec_id, exp(-b1) * (1 - exp(-c1 * u)) AS p1, exp(-b2) * (1 - exp(-c2 * u)) AS p2, exp(-b1) * CASE WHEN dt IS NULL THEN 1e0 ELSE 1 - exp(-c1 * dt) END AS q1, exp(-b2) * CASE WHEN dt IS NULL THEN 1e0 ELSE 1 - exp(-c2 * dt) END AS q2 FROM x)
- SELECT vec_id, round(sum(abs(p1 - p2) + abs((q1 - p1) - (q2 - p2))) / 2, 6) AS tv FROM y GROUP BY 1""")
+@query("h17_tv", f"""WITH {A.ETA}, {PAIRED}, a AS (SELECT *, coalesce(sum(c1 * dt) OVER o, 0e0) AS h1, coalesce(sum(c2 * dt) OVER o, 0e0) AS h2 FROM k WINDOW o AS (PARTITION BY vec_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ still AS (SELECT vec_id, (ln(c1) - ln(c2) - h1 + h2) / nullif(c1 - c2, 0) AS u, t, dt, h1, h2, c1, c2 FROM a),
+ gap AS (SELECT vec_id, t AS x, exp(-h1) - exp(-h2) AS g FROM a UNION ALL SELECT vec_id, t + u, exp(-h1 - c1 * u) - exp(-h2 - c2 * u) FROM still WHERE u > 0 AND (dt IS NULL OR u < dt) UNION ALL SELECT DISTINCT vec_id, 1e300, 0e0 FROM a),
+ turn AS (SELECT vec_id, abs(g - lag(g) OVER (PARTITION BY vec_id ORDER BY x)) AS moved FROM gap)
+ SELECT vec_id, round(sum(moved) / 2, 6) AS tv FROM turn GROUP BY 1""")
 def h17(spark, d):
     return rounded(H.total_variation(*neighbours(spark, d), "vec_id"), "tv")
 
@@ -396,7 +397,7 @@ def h21(spark, d):
 
 def packed_users(spark, d):
     rows = A.observations(spark, d).withColumn("k", F.lit(0).cast("long")).withColumnRenamed("win", "slot")
-    return windows.packed(rows, ["user_id"], A.WINDOWS)
+    return windows.packed(rows, ["user_id"], A.window_count(spark, d))
 
 
 @query("m12_stein_fit")

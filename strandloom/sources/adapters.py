@@ -38,23 +38,34 @@ def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MASKS = "masks AS (SELECT CAST(o_orderkey * 500 AS BIGINT) AS a, CAST(o_orderkey * 500 + 1 + o_custkey % 300 AS BIGINT) AS b FROM orders WHERE o_orderkey % 29 = 0)"
 
-WINDOWS = 120
+WIDTH = 21_600_000_000  # microseconds of a window of events
+
+
+def window_count(spark: SparkSession, sf_dir: str) -> int:
+    """How many windows there are from the day of the first event to the last event."""
+    ends = table(spark, sf_dir, "events").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    last = F.floor(F.timestamp_diff("MICROSECOND", F.date_trunc("day", "lo"), F.col("hi").cast("timestamp")) / F.lit(WIDTH))
+    return (ends.select(last.cast("long").alias("n")).first().n or 0) + 1
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """obs(user_id, win, ob): 1 if a user's window has an error, 0 if other events, -1 if none."""
-    events = table(spark, sf_dir, "events")
-    win = F.floor(F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts)") / F.lit(21_600_000_000)).cast("long")
-    seen = events.select(F.col("user_id").cast("long").alias("user_id"), win.alias("win"), (F.col("event_type") == "error").cast("long").alias("ob")).filter(F.col("win").between(0, WINDOWS - 1))
+    events = table(spark, sf_dir, "events").filter("ts is not null")
+    start = events.agg(F.date_trunc("day", F.min("ts")).alias("_start"))
+    events = events.crossJoin(F.broadcast(start))  # one row
+    win = F.floor(F.timestamp_diff("MICROSECOND", "_start", F.col("ts").cast("timestamp")) / F.lit(WIDTH)).cast("long")
+    seen = events.select(F.col("user_id").cast("long").alias("user_id"), win.alias("win"), (F.col("event_type") == "error").cast("long").alias("ob"))
     seen = seen.groupBy("user_id", "win").agg(F.max("ob").alias("ob"))
-    spine = events.select(F.col("user_id").cast("long").alias("user_id")).distinct().withColumn("win", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(WINDOWS - 1).cast("long"))))
+    windows = F.sequence(F.lit(0).cast("long"), F.lit(window_count(spark, sf_dir) - 1).cast("long"))
+    spine = events.select(F.col("user_id").cast("long").alias("user_id")).distinct().withColumn("win", F.explode(windows))
     return spine.join(seen, ["user_id", "win"], "left").select("user_id", "win", F.coalesce("ob", F.lit(-1)).cast("long").alias("ob"))
 
 
-OBS = f"""obs AS (SELECT u.user_id, w.win, CAST(coalesce(e.ob, -1) AS BIGINT) AS ob
-  FROM (SELECT DISTINCT CAST(user_id AS BIGINT) AS user_id FROM events) u CROSS JOIN (SELECT CAST(range AS BIGINT) AS win FROM range({WINDOWS})) w
-  LEFT JOIN (SELECT CAST(user_id AS BIGINT) AS user_id, CAST(floor(date_diff('microsecond', TIMESTAMP '2024-01-01 00:00:00', ts) / 21600000000.0) AS BIGINT) AS win,
-    max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS ob FROM events GROUP BY 1, 2) e ON e.user_id = u.user_id AND e.win = w.win)"""
+OBS = f"""ext AS (SELECT date_trunc('day', min(ts)) AS t0, CAST(floor(date_diff('microsecond', date_trunc('day', min(ts)), max(ts)) / {WIDTH}.0) AS BIGINT) + 1 AS windows FROM events),
+obs AS (SELECT u.user_id, w.win, CAST(coalesce(e.ob, -1) AS BIGINT) AS ob
+  FROM (SELECT DISTINCT CAST(user_id AS BIGINT) AS user_id FROM events WHERE ts IS NOT NULL) u CROSS JOIN (SELECT CAST(unnest(range(windows)) AS BIGINT) AS win FROM ext) w
+  LEFT JOIN (SELECT CAST(user_id AS BIGINT) AS user_id, CAST(floor(date_diff('microsecond', t0, ts) / {WIDTH}.0) AS BIGINT) AS win,
+    max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS ob FROM events, ext GROUP BY 1, 2) e ON e.user_id = u.user_id AND e.win = w.win)"""
 
 
 def time_grid(i):
@@ -93,3 +104,53 @@ def individuals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 INDIVIDUALS = "individuals AS (SELECT CAST(c_custkey AS BIGINT) AS id, CAST(c_nationkey AS BIGINT) AS pop, CAST(2 * c_custkey AS BIGINT) AS node0, CAST(2 * c_custkey + 1 AS BIGINT) AS node1 FROM customer)"
+
+
+HAPLOIDS, LINEAGES = 14, 27  # nodes 0 to 13 are samples, 14 to 25 are older ones, 26 is the oldest
+ORIGINS = ("A", "N", "R")
+
+
+def sequence_length(spark: SparkSession, sf_dir: str) -> int:
+    ends = table(spark, sf_dir, "lineitem").agg(F.max("l_orderkey").alias("n")).first().n, table(spark, sf_dir, "orders").agg(F.max("o_orderkey").alias("n")).first().n
+    return 10 * max(x or 0 for x in ends) + 20
+
+
+def lineages(spark: SparkSession, sf_dir: str, span: int = 1 << 20) -> DataFrame:
+    """edges(contig, left, right, parent, child): a line moves a node below an older one, until the node's next move.
+
+    The next move is the next within a span of positions, or else the first of
+    later spans, so no task holds all moves of a node.
+    """
+    low = lambda node: F.greatest(node + 1, F.lit(HAPLOIDS))
+    child = F.col("l_partkey") % (LINEAGES - 1)
+    moves = table(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("contig"), (F.col("l_orderkey") * 10).cast("long").alias("left"), child.cast("long").alias("child"), (low(child) + F.col("l_suppkey") % (LINEAGES - low(child))).cast("long").alias("parent")
+    )
+    moves = moves.groupBy("contig", "left", "child").agg(F.max("parent").alias("parent")).withColumn("span", F.floor(F.col("left") / span))
+    firsts = moves.groupBy(F.col("contig").alias("_c"), F.col("child").alias("_n"), F.col("span").alias("_s")).agg(F.min("left").alias("_first"))
+    firsts = firsts.withColumn("_later", F.lead("_first").over(Window.partitionBy("_c", "_n").orderBy("_s"))).drop("_first")
+    following = F.lead("left").over(Window.partitionBy("contig", "child", "span").orderBy("left"))
+    met = moves.withColumn("_next", following).join(firsts, (F.col("contig") == F.col("_c")) & (F.col("child") == F.col("_n")) & (F.col("span") == F.col("_s")))
+    end = F.coalesce("_next", "_later", F.lit(sequence_length(spark, sf_dir)).cast("long"))
+    return met.select("contig", "left", end.alias("right"), "parent", "child")
+
+
+def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mutations(contig, pos, id, node, state, ancestral): one at each order's site, and at every fourth a second on another node; some go back."""
+    key, node = F.col("o_orderkey"), (F.col("o_custkey") % LINEAGES).cast("long")
+    other = ((F.col("o_custkey") * 7 + 3) % LINEAGES).cast("long")
+    second = F.when((key % 4 == 0) & (node != other), F.struct(F.lit(1).cast("long").alias("id"), other.alias("node"), F.when(key % 8 == 0, "G").otherwise("A").alias("state")))
+    first = F.struct(F.lit(0).cast("long").alias("id"), node.alias("node"), F.lit("T").alias("state"))
+    contig = F.element_at(F.array(*map(F.lit, ORIGINS)), (key % 3 + 1).cast("int"))
+    rows = table(spark, sf_dir, "orders").select(contig.alias("contig"), (key * 10 + 5).cast("long").alias("pos"), F.explode(F.array_compact(F.array(first, second))).alias("m"))
+    return rows.select("contig", "pos", "m.id", "m.node", "m.state", F.lit("A").alias("ancestral"))
+
+
+LINES = f"""moves AS (SELECT l_returnflag AS contig, CAST(l_orderkey * 10 AS BIGINT) AS lft, l_partkey % {LINEAGES - 1} AS child, max(greatest(l_partkey % {LINEAGES - 1} + 1, {HAPLOIDS}) + l_suppkey % ({LINEAGES} - greatest(l_partkey % {LINEAGES - 1} + 1, {HAPLOIDS}))) AS parent FROM lineitem GROUP BY 1, 2, 3),
+muts AS (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS contig, CAST(o_orderkey * 10 + 5 AS BIGINT) AS pos, o_custkey % {LINEAGES} AS node, 'T' AS state FROM orders
+ UNION ALL SELECT CASE o_orderkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END, CAST(o_orderkey * 10 + 5 AS BIGINT), (o_custkey * 7 + 3) % {LINEAGES}, CASE WHEN o_orderkey % 8 = 0 THEN 'G' ELSE 'A' END FROM orders WHERE o_orderkey % 4 = 0 AND (o_custkey * 7 + 3) % {LINEAGES} <> o_custkey % {LINEAGES}),
+sites AS (SELECT DISTINCT contig, pos FROM muts), asked AS (SELECT contig, pos, child FROM sites, (SELECT unnest(range({LINEAGES - 1})) AS child)),
+up AS MATERIALIZED (SELECT q.contig, q.pos, q.child, m.parent FROM asked q ASOF JOIN moves m ON m.contig = q.contig AND m.child = q.child AND m.lft <= q.pos),
+path AS (SELECT contig, pos, s.range AS sample, CAST(s.range AS BIGINT) AS node, 0 AS depth FROM sites, range({HAPLOIDS}) s UNION ALL
+ SELECT p.contig, p.pos, sample, CAST(u.parent AS BIGINT), depth + 1 FROM path p JOIN up u ON u.contig = p.contig AND u.pos = p.pos AND u.child = p.node),
+gt AS MATERIALIZED (SELECT p.contig, p.pos, sample, coalesce(min_by(state, depth) FILTER (state IS NOT NULL), 'A') AS allele FROM path p LEFT JOIN muts m ON m.contig = p.contig AND m.pos = p.pos AND m.node = p.node GROUP BY 1, 2, 3)"""

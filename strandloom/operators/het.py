@@ -40,9 +40,10 @@ def dense(het: DataFrame, windows: int, value: str, fill: int = 0) -> DataFrame:
 
 
 def derived_counts(calls: DataFrame) -> DataFrame:
-    """Non-reference alleles at each site, partly missing genotypes included."""
+    """Non-reference alleles of each record, partly missing genotypes included; a position is one where records have no numbers."""
+    site = [c for c in ("contig", "pos", "record") if c in calls.columns]
     n = F.coalesce((F.col("a0") > 0).cast("int"), F.lit(0)) + F.coalesce((F.col("a1") > 0).cast("int"), F.lit(0))
-    return calls.groupBy("contig", "pos").agg(F.sum(n).cast("long").alias("k"))
+    return calls.groupBy(*site).agg(F.sum(n).cast("long").alias("k"))
 
 
 def spectrum(calls: DataFrame, ploids: int) -> DataFrame:

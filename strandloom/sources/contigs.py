@@ -14,9 +14,9 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import genealogy, intervals
 from ..operators import het as heterozygosity
-from ..operators import intervals
-from . import text
+from . import text, trees
 
 
 @dataclass(frozen=True)
@@ -61,7 +61,11 @@ def region_windows(calls: DataFrame, start: int, windows: int, size: int) -> Dat
 
 @dataclass(frozen=True)
 class CallsContig:
-    """Calls (pos, sample, a0, a1, and ref and alt where known) of one contig from start to end."""
+    """Calls (pos, sample, a0, a1, and record, ref and alt where known) of one contig from start to end.
+
+    Every record counts in the spectrum, those that repeat one another too;
+    where records have no numbers, positions with equal alleles are one.
+    """
 
     calls: DataFrame
     samples: list[str]
@@ -92,8 +96,8 @@ class CallsContig:
 
 
 def site_spectrum(calls: DataFrame, ploids: int) -> DataFrame:
-    """(k, n_sites) of sites, told apart by their alleles too where these are known."""
-    site = [c for c in ("pos", "ref", "alt") if c in calls.columns]
+    """(k, n_sites) of records, told apart by their numbers, or by position and what is known of alleles where they have none."""
+    site = ["record"] if "record" in calls.columns else [c for c in ("pos", "ref", "alt") if c in calls.columns]
     derived = sum((F.coalesce((F.col(a) > 0).cast("int"), F.lit(0)) for a in ("a0", "a1")), F.lit(0))
     counts = calls.groupBy(*site).agg(F.sum(derived).cast("long").alias("k")).filter(F.col("k").between(1, ploids - 1))
     return counts.groupBy("k").agg(F.count(F.lit(1)).alias("n_sites"))
@@ -115,6 +119,12 @@ def vcf_contig(spark: SparkSession, path: str, samples: list[str], region: str |
     return CallsContig(calls, samples, start, end, name)
 
 
+def check_pairs(pairs: object) -> None:
+    good = isinstance(pairs, list) and pairs and all(isinstance(p, tuple) and len(p) == 2 and all(isinstance(x, int) for x in p) for p in pairs)
+    if not good:
+        raise ValueError("pairs must be a list of (node, node), two whole numbers each")
+
+
 @dataclass(frozen=True)
 class PairsContig:
     """Genotypes (pos, node, allele) of one contig, its diploids being pairs of nodes.
@@ -130,9 +140,7 @@ class PairsContig:
     name: str = "1"
 
     def __post_init__(self) -> None:
-        good = isinstance(self.pairs, list) and self.pairs and all(isinstance(p, tuple) and len(p) == 2 and all(isinstance(x, int) for x in p) for p in self.pairs)
-        if not good:
-            raise ValueError("pairs must be a list of (node, node), two whole numbers each")
+        check_pairs(self.pairs)
 
     @property
     def ploids(self) -> int:
@@ -159,6 +167,79 @@ class PairsContig:
         return Observed(het.select("contig", "sample", "win", "ob", "windows"), counts.groupBy("k").agg(F.count(F.lit(1)).alias("n_sites")))
 
 
+@dataclass(frozen=True)
+class TreesContig:
+    """A tree sequence: edges (left, right, parent, child) and mutations (pos, id, node, state, ancestral), its diploids being pairs of nodes.
+
+    It shows what PairsContig shows of the same genotypes, without making them:
+    counts below nodes are kept up along spans of the sequence.
+    """
+
+    edges: DataFrame
+    mutations: DataFrame
+    pairs: list[tuple[int, int]]
+    length: int
+    masks: DataFrame | None = None
+    name: str = "1"
+    span: int = genealogy.SPAN
+
+    def __post_init__(self) -> None:
+        check_pairs(self.pairs)
+
+    @property
+    def ploids(self) -> int:
+        return 2 * len(self.pairs)
+
+    @property
+    def shortest(self) -> int:
+        return self.length
+
+    def observe(self, window: int) -> Observed:
+        spark, windows = self.edges.sparkSession, -(-self.length // window)
+        named = lambda rows: rows.withColumn("contig", F.lit(self.name))
+        counts = genealogy.site_counts(named(self.edges), named(self.mutations), self.pairs, "contig", self.span)
+        seen = genealogy.pair_differences(counts, "contig", window).select(F.col("pair").cast("string").alias("sample"), "win", F.col("n_het").alias("ob"))
+        het = _dense(_spine(spark, self.name, [str(i) for i in range(len(self.pairs))], windows), seen)
+        if self.masks is not None:
+            het = intervals.mask_windows(het, self.masks, window, "ob")
+            counts = intervals.outside(counts, self.masks)
+        nodes = len({x for p in self.pairs for x in p})
+        return Observed(het.select("contig", "sample", "win", "ob", "windows"), genealogy.spectrum(counts, nodes, "contig").select("k", "n_sites"))
+
+
+def trees_contig(spark: SparkSession, path: str, pairs: list[tuple[int, int]] | None = None, masks: DataFrame | None = None) -> TreesContig:
+    """A tree sequence file; without pairs, the two nodes of each of its individuals."""
+    length = trees.read_table(spark, path, "sequence", ["length"]).first().length
+    if pairs is None:
+        nodes = trees.read_table(spark, path, "nodes", ["id", "individual"]).filter("individual >= 0")
+        both = nodes.groupBy("individual").agg(F.sort_array(F.collect_list("id")).alias("ids")).orderBy("individual").collect()  # as many as were sampled
+        if any(len(r.ids) != 2 for r in both):
+            raise ValueError("an individual has not two nodes; name pairs of nodes")
+        pairs = [tuple(r.ids) for r in both]
+    return TreesContig(trees.edges_of(spark, path).drop("file"), trees.mutations_of(spark, path).drop("file"), pairs, int(length), masks)
+
+
+def contig(spark: SparkSession, path: str, samples: list | None = None, region: str | None = None, window: int = 100) -> Source:
+    """A file's source, by its ending.
+
+    Call files (.vcf, .vcf.gz, .vcf.bgz) need names of samples and a region,
+    contig:start-end. Tree sequences (.trees, .ts) take pairs of nodes, by
+    default those of the individuals, and no region. PSMC-FASTA files (.psmcfa,
+    .fa, also with .gz) take neither; `window` is theirs.
+    """
+    if path.endswith((".vcf", ".vcf.gz", ".vcf.bgz")):
+        if region is None:
+            raise ValueError("a call file needs a region, contig:start-end")
+        return vcf_contig(spark, path, samples, region)
+    if region is not None:
+        raise ValueError(f"a region is for call files, not for {path}")
+    if path.endswith((".trees", ".ts")):
+        return trees_contig(spark, path, samples)
+    if path.endswith((".psmcfa", ".psmcfa.gz", ".fa", ".fa.gz")):
+        return record_contigs(psmcfa_records(spark, [path]), window)
+    raise ValueError(f"no source reads {path}; there are .vcf, .vcf.gz, .vcf.bgz, .trees, .ts, .psmcfa and .fa")
+
+
 @dataclass(frozen=True)
 class RecordContigs:
     """PSMC-FASTA records (contig, win, ob, windows), whose windows the file has set. Their spectrum is one class of one site each."""

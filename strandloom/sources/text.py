@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SUFFIXES = {"vcf": (".vcf", ".vcf.gz"), "psmcfa": (".psmcfa", ".psmcfa.gz", ".fa", ".fa.gz")}
-
-
 def decode_symbols(rows: DataFrame, keys: list[str], sequence: str) -> DataFrame:
     """(keys, win, ob): K is 1, N is -1, any other symbol 0."""
     symbols = rows.select(*keys, F.posexplode(F.split(sequence, "")).alias("_i", "_s")).filter("_s <> ''")
@@ -50,10 +47,11 @@ def vcf_samples(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_vcf(spark: SparkSession, path: str, samples: list[str] | None = None, region: str | None = None) -> DataFrame:
-    """calls(contig, pos, ref, alt, sample, a0, a1); a missing allele is null.
+    """calls(record, contig, pos, ref, alt, sample, a0, a1); a missing allele is null.
 
     region is contig:start-end and takes positions above start up to end. A
-    haploid genotype has its one allele and a missing one.
+    haploid genotype has its one allele and a missing one. record tells the
+    lines of the file apart, whose positions and alleles may repeat.
     """
     header = vcf_samples(spark, path)
     wanted = header if samples is None else samples
@@ -62,15 +60,15 @@ def read_vcf(spark: SparkSession, path: str, samples: list[str] | None = None, r
     if absent := sorted(set(wanted) - set(header)):
         raise ValueError(f"samples not in the file: {', '.join(absent)}")
     fields = F.split("value", "\t")
-    rows = spark.read.text(path).filter(~F.startswith("value", F.lit("#")) & (F.col("value") != "")).select(fields.alias("f"))
-    rows = rows.select(F.col("f")[0].alias("contig"), F.col("f")[1].cast("long").alias("pos"), F.col("f")[3].alias("ref"), F.col("f")[4].alias("alt"), "f")
+    rows = spark.read.text(path).filter(~F.startswith("value", F.lit("#")) & (F.col("value") != "")).select(F.monotonically_increasing_id().alias("record"), fields.alias("f"))
+    rows = rows.select("record", F.col("f")[0].alias("contig"), F.col("f")[1].cast("long").alias("pos"), F.col("f")[3].alias("ref"), F.col("f")[4].alias("alt"), "f")
     if region is not None:
         contig, start, end = parse_region(region)
         rows = rows.filter((F.col("contig") == contig) & (F.col("pos") > start) & (F.col("pos") <= end))
     picked = F.array(*[F.struct(F.lit(s).alias("sample"), F.split(F.col("f")[9 + header.index(s)], ":")[0].alias("gt")) for s in wanted])
-    long = rows.select("contig", "pos", "ref", "alt", F.explode(picked).alias("x")).select("contig", "pos", "ref", "alt", "x.sample", F.split("x.gt", r"[/|]").alias("g"))
+    long = rows.select("record", "contig", "pos", "ref", "alt", F.explode(picked).alias("x")).select("record", "contig", "pos", "ref", "alt", "x.sample", F.split("x.gt", r"[/|]").alias("g"))
     allele = lambda i: F.get("g", F.lit(i)).try_cast("int")
-    return long.select("contig", "pos", "ref", "alt", "sample", allele(0).alias("a0"), allele(1).alias("a1"))
+    return long.select("record", "contig", "pos", "ref", "alt", "sample", allele(0).alias("a0"), allele(1).alias("a1"))
 
 
 def parse_region(region: str) -> tuple[str, int, int]:
@@ -102,11 +100,3 @@ def vcf_lines(calls: DataFrame) -> DataFrame:
     sites = calls.groupBy("contig", "pos").agg(F.array_sort(F.collect_list(F.struct("sample", genotype.alias("gt")))).alias("_g"))
     fixed = [F.col("contig"), F.col("pos").cast("string"), *[F.lit(x) for x in (".", "A", "T", ".", "PASS", ".", "GT")]]
     return sites.select(F.concat_ws("\t", *fixed, F.array_join(F.transform("_g", lambda x: x["gt"]), "\t")).alias("value"))
-
-
-def contig(spark: SparkSession, path: str, samples: list[str] | None = None, region: str | None = None) -> DataFrame:
-    """Calls or observations of a file, by its suffix."""
-    for kind, ends in SUFFIXES.items():
-        if path.endswith(ends):
-            return read_vcf(spark, path, samples, region) if kind == "vcf" else read_psmcfa(spark, path)
-    raise ValueError(f"no source reads {path}")

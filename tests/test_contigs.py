@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 
 from strandloom.functions import hmm
-from strandloom.operators import intervals, posterior
+from strandloom.operators import het, intervals, posterior
 from strandloom.operators import fit as stein
 from strandloom.sources import contigs as C
+from strandloom.sources import text
 
 HEAD = "##contig=<ID=1,length=1000>\n##contig=<ID=2,assembly=x>\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tA\tB\n"
 
@@ -36,6 +37,18 @@ def test_region_is_shifted_and_its_rest_joins_the_last_window(spark, vcf):
     assert {r.k: r.n_sites for r in seen.spectrum.collect()} == {1: 3, 3: 1}
 
 
+def test_every_record_counts(spark, tmp_path):
+    """Lines that agree in position and alleles are records of their own, and so are those that agree in position."""
+    path = tmp_path / "r.vcf"
+    twice = line(100, "0|1", "0|0") * 2 + line(200, "1|1", "0|1") * 2 + line(300, "1|1", "1|0") + line(300, "0|1", "0|0", alt="G")
+    path.write_text(HEAD + twice)
+    seen = C.vcf_contig(spark, str(path), ["A", "B"], "1:1-400").observe(100)
+    assert {r.k: r.n_sites for r in seen.spectrum.collect()} == {1: 3, 3: 3}
+    assert cells(seen.het) == {("A", w): int(w in (0, 2)) for w in range(4)} | {("B", w): int(w in (1, 2)) for w in range(4)}
+    both = het.spectrum(text.read_vcf(spark, str(path), ["A", "B"]), 4)
+    assert {r.k: r.n_sites for r in both.collect()} == {1: 3, 3: 3}
+
+
 def test_whole_file_needs_one_length(spark, vcf):
     assert C.vcf_contig(spark, vcf, ["A"], whole=True).end == 1000
     for bad in (lambda: C.vcf_contig(spark, vcf, ["A"]), lambda: C.vcf_contig(spark, vcf, ["A"], "1:9-9"), lambda: C.vcf_contig(spark, vcf, []), lambda: C.vcf_contig(spark, vcf, ["Z"], "1:1-9"), lambda: C.PairsContig(spark.range(1), [(1, 2, 3)], 9)):

@@ -58,17 +58,15 @@ def test_fit_and_band(spark):
 
 def test_sources(spark, tmp_path):
     (tmp_path / "a.psmcfa").write_text(">1\nKKT\nNK\n>2\nTT\n")
-    got = sorted((r.contig, r.win, r.ob) for r in text.contig(spark, str(tmp_path / "a.psmcfa")).collect())
+    got = sorted((r.contig, r.win, r.ob) for r in text.read_psmcfa(spark, str(tmp_path / "a.psmcfa")).collect())
     assert got == [("1", 0, 1), ("1", 1, 1), ("1", 2, 0), ("1", 3, -1), ("1", 4, 1), ("2", 0, 0), ("2", 1, 0)]
     head = "##x\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tA\tB\n"
     (tmp_path / "b.vcf").write_text(head + "1\t10\t.\tA\tT\t.\t.\t.\tGT\t0|1\t./.\n1\t20\t.\tA\tT\t.\t.\t.\tGT:DP\t1/1:3\t0\n")
-    rows = text.contig(spark, str(tmp_path / "b.vcf"), ["B", "A"], "1:9-20").collect()
+    rows = text.read_vcf(spark, str(tmp_path / "b.vcf"), ["B", "A"], "1:9-20").collect()
     assert sorted((r.pos, r.sample, r.a0, r.a1) for r in rows if r.sample == "A") == [(10, "A", 0, 1), (20, "A", 1, 1)]
     assert [(r.a0, r.a1) for r in rows if r.sample == "B"] == [(None, None), (0, None)]
     with pytest.raises(ValueError):
         text.read_vcf(spark, str(tmp_path / "b.vcf"), ["C"])
-    with pytest.raises(ValueError):
-        text.contig(spark, "x.unknown")
     (tmp_path / "s.txt").write_text("scrm 4 1\nposition time 0 1 2 3\n3.7 0.1 0 1 1 1\nSFS: 1 0\n")
     assert [tuple(r) for r in text.read_simulated(spark, str(tmp_path / "s.txt")).collect()] == [(4, 0, 0, 1), (4, 1, 1, 1)]
 

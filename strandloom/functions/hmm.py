@@ -122,46 +122,157 @@ def tables_of(t: np.ndarray, c: np.ndarray, theta: np.ndarray, rho: np.ndarray)
     return np.concatenate([transition(t, c, rho).reshape(len(t), -1), np.exp(-theta[:, None] * expected_times(t, c)), start(t, c)], axis=1)
 
 
-def table_slopes(tables: np.ndarray, obs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def symbols(obs: np.ndarray) -> np.ndarray:
+    """Observations as rows of the emission table: 0, 1 for one or more, 2 for missing."""
+    return np.where(obs < 0, 2, np.minimum(obs, 1))
+
+
+def schedule(obs: np.ndarray) -> np.ndarray:
+    """(steps, 2): each run of one symbol as powers of two of its step's matrix, the symbol and the power's logarithm.
+
+    There are as many steps as runs have binary digits that are set, however
+    many windows the runs take.
+    """
+    seen = symbols(np.asarray(obs))
+    if not len(seen):
+        return np.zeros((0, 2), np.int64)
+    first = np.flatnonzero(np.concatenate([[True], seen[1:] != seen[:-1]]))
+    lengths = np.diff(np.append(first, len(seen)))
+    digits = lengths[:, None] >> np.arange(int(lengths.max()).bit_length()) & 1
+    run, power = np.nonzero(digits)
+    return np.stack([seen[first][run], power], axis=1)
+
+
+class Ladder:
+    """Matrices of a window's step for each symbol, and their powers of two, each scaled to a largest entry of one."""
+
+    def __init__(self, tables: np.ndarray, tops: dict[int, int]):
+        k = len(tables)
+        self.m = m = int(math.isqrt(tables.shape[1] + 1)) - 1
+        self.a, miss, self.first = tables[:, : m * m].reshape(k, m, m), tables[:, m * m : m * m + m], tables[:, m * m + m :]
+        self.emit = [miss, 1 - miss, np.ones_like(miss)]
+        self.power: dict[tuple[int, int], np.ndarray] = {}
+        self.scale: dict[tuple[int, int], np.ndarray] = {}
+        for symbol, top in tops.items():
+            one, scale = self.a * self.emit[symbol][:, None], np.zeros(k)
+            for j in range(top + 1):
+                if j:
+                    one, scale = one @ one, 2 * scale
+                most = one.max(axis=(1, 2))
+                one, scale = one / most[:, None, None], scale + np.log(most)
+                self.power[symbol, j], self.scale[symbol, j] = one, scale
+
+    def slopes(self, of_power: dict[tuple[int, int], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Slopes in the transition matrix and in the chance of no mutation, from those in the scaled powers.
+
+        A power is the square of the one before, times a number that its scale
+        takes back; so slopes go down the ladder, to a single window's step.
+        """
+        of_a, of_miss = np.zeros_like(self.a), np.zeros_like(self.emit[0])
+        for symbol in {s for s, _ in of_power}:
+            top = max(j for s, j in of_power if s == symbol)
+            slope = np.zeros_like(self.a)
+            for j in range(top, -1, -1):
+                if (symbol, j) in of_power:
+                    slope = slope + of_power[symbol, j]
+                # the scale's logarithm at this rung, less twice that of the rung below
+                grown = self.scale[symbol, j] - (2 * self.scale[symbol, j - 1] if j else 0)
+                slope = slope / np.exp(grown)[:, None, None]
+                if j:
+                    below = self.power[symbol, j - 1].transpose(0, 2, 1)
+                    slope = slope @ below + below @ slope
+            of_a += slope * self.emit[symbol][:, None]
+            if symbol < 2:
+                of_miss += (1 - 2 * symbol) * (slope * self.a).sum(axis=1)
+        return of_a, of_miss
+
+
+def run_likelihood(tables: np.ndarray, obs: np.ndarray) -> np.ndarray:
+    """The log-likelihood of all sequences for each model, by runs; for more models than sequences."""
+    plans = [schedule(row) for row in obs]
+    every = np.concatenate(plans)
+    ladder = Ladder(tables, {int(s): int(every[every[:, 0] == s, 1].max()) for s in np.unique(every[:, 0])})
+    value = np.zeros(len(tables))
+    for plan in plans:
+        alpha, scale = ladder.first[:, None], np.ones((len(tables), 1, 1))
+        for symbol, power in plan.tolist():
+            alpha = np.matmul(alpha, ladder.power[symbol, power])
+            scale = alpha.sum(axis=2, keepdims=True)
+            alpha = alpha / scale
+            value += np.log(scale[:, 0, 0]) + ladder.scale[symbol, power]
+    return value
+
+
+def run_slopes(tables: np.ndarray, obs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The log-likelihood of all sequences for each model, and its slope in every number of tables_of().
 
-    One pass forward and one back; what a window adds to a slope is the chance
-    of what came before times that of what comes after.
+    Runs are taken by powers of two, so the time goes with the runs. Forward
+    states are kept at the ends of stretches of about the root of the steps;
+    going back, a stretch's own are computed again. What a step adds to the
+    slope of its matrix is the chance of what came before times that of what
+    comes after.
     """
-    k, n, width = len(tables), len(obs), obs.shape[1]
-    m = int(math.isqrt(tables.shape[1] + 1)) - 1
-    a, miss, first = tables[:, : m * m].reshape(k, m, m), tables[:, m * m : m * m + m], tables[:, m * m + m :]
-    emit = np.stack([miss, 1 - miss, np.ones_like(miss)], axis=1)
-    alpha, scale = np.empty((width + 1, k, n, m)), np.empty((width, k, n, 1))
-    alpha[0] = first[:, None]
-    for i in range(width):
-        step = alpha[i] @ a * emit[:, np.clip(obs[:, i], -1, 1)]
-        scale[i] = step.sum(axis=-1, keepdims=True)
-        alpha[i + 1] = step / scale[i]
-    beta = np.ones((k, n, m))
-    of_a, of_miss = np.zeros_like(a), np.zeros_like(miss)
-    back = a.transpose(0, 2, 1)
-    for i in range(width - 1, -1, -1):
-        after = beta / scale[i]
-        sign = np.where(obs[:, i] < 0, 0.0, np.where(obs[:, i] == 0, 1.0, -1.0))[None, :, None]
-        of_miss += (sign * after * (alpha[i] @ a)).sum(axis=1)
-        after = after * emit[:, np.clip(obs[:, i], -1, 1)]
-        of_a += alpha[i].transpose(0, 2, 1) @ after
-        beta = after @ back
-    return np.log(scale[..., 0]).sum(axis=(0, 2)), np.concatenate([of_a.reshape(k, -1), of_miss, beta.sum(axis=1)], axis=1)
+    k, plans = len(tables), [schedule(row) for row in obs]
+    tops: dict[int, int] = {}
+    for plan in plans:
+        for symbol in range(3):
+            own = plan[plan[:, 0] == symbol, 1]
+            if len(own):
+                tops[symbol] = max(tops.get(symbol, 0), int(own.max()))
+    ladder = Ladder(tables, tops)
+    value, of_first = np.zeros(k), np.zeros_like(ladder.first)
+    of_power = {key: np.zeros_like(ladder.a) for key in ladder.power}
+    back = {key: np.ascontiguousarray(x.transpose(0, 2, 1)) for key, x in ladder.power.items()}
+
+    def forward(alpha: np.ndarray, steps: list[tuple[int, int]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        states, sums = [alpha], []
+        for step in steps:
+            alpha = np.matmul(alpha, ladder.power[step])
+            total = alpha.sum(axis=2, keepdims=True)
+            alpha = alpha / total
+            states.append(alpha)
+            sums.append(total)
+        return states, sums
+
+    for plan in plans:
+        steps = [(int(s), int(j)) for s, j in plan]
+        stretch = max(1, math.isqrt(len(steps)))
+        alpha, marks = ladder.first[:, None], []
+        for at in range(0, len(steps), stretch):
+            marks.append(alpha)
+            states, sums = forward(alpha, steps[at : at + stretch])
+            alpha = states[-1]
+            value += np.log(np.concatenate(sums, axis=1)[..., 0]).sum(axis=1)
+        for step in steps:
+            value += ladder.scale[step]
+        beta = np.ones((k, 1, ladder.m))
+        for nth in range(len(marks) - 1, -1, -1):
+            own = steps[nth * stretch : (nth + 1) * stretch]
+            states, sums = forward(marks[nth], own)
+            after: list[np.ndarray] = [beta] * len(own)
+            for i in range(len(own) - 1, -1, -1):
+                after[i] = beta / sums[i]
+                beta = np.matmul(after[i], back[own[i]])
+            for step in set(own):
+                mine = [i for i, x in enumerate(own) if x == step]
+                before = np.concatenate([states[i] for i in mine], axis=1)
+                of_power[step] += before.transpose(0, 2, 1) @ np.concatenate([after[i] for i in mine], axis=1)
+        of_first += beta[:, 0] if steps else 0
+    of_a, of_miss = ladder.slopes(of_power)
+    return value, np.concatenate([of_a.reshape(k, -1), of_miss, of_first], axis=1)
 
 
 def likelihood_slopes(x: np.ndarray, theta: float, obs: np.ndarray, warm: int = 0, h: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """(particles,) and (particles, 18): the log-likelihood of all sequences after their warm-up, and its gradient.
 
-    The data are passed over once forward and once back for each particle; the
-    tables' slopes in the particles' numbers, where no data are needed, are
+    The data's runs are passed over once forward and once back for each
+    particle; the tables' slopes in the particles' numbers, where no data are needed, are
     central differences.
     """
     tables = tables_of(*to_models(x, theta))
-    value, slope = table_slopes(tables, obs)
+    value, slope = run_slopes(tables, obs)
     if warm:
-        early, of_early = table_slopes(tables, obs[:, :warm])
+        early, of_early = run_slopes(tables, obs[:, :warm])
         value, slope = value - early, slope - of_early
     moves = h * np.eye(x.shape[1])
     grad = np.empty_like(x)

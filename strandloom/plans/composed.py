@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import history as H
 from ..functions import hmm
-from ..operators import coalescent, posterior
+from ..operators import coalescent, posterior, scan
 from ..operators.fit import likelihoods
 from ..sources import adapters as A
 from ..sources import contigs as C
@@ -148,20 +148,34 @@ def m5(spark, d):
     return rounded(coalescent.revisits(A.histories(spark, d), "vec_id", AT, APART, np.array(POINTS)), "density", "atom")
 
 
-@query("m7_forward_likelihood", f"""WITH RECURSIVE {A.OBS}, e0 AS (SELECT 0 AS vec_id, CAST(r.range AS BIGINT) AS i, CASE WHEN r.range = 0 THEN 0e0 ELSE 1e-3 * pow(15000e0, (r.range - 1) / 14e0) END AS t, 1e0 AS c FROM range(16) r),
+FORWARD = f"""WITH RECURSIVE {A.OBS}, e0 AS (SELECT 0 AS vec_id, CAST(r.range AS BIGINT) AS i, CASE WHEN r.range = 0 THEN 0e0 ELSE 1e-3 * pow(15000e0, (r.range - 1) / 14e0) END AS t, 1e0 AS c FROM range(16) r),
  one AS (SELECT *, lead(t) OVER (ORDER BY i) - t AS dt, t AS h FROM e0), {transition_sql("one")},
  cols AS (SELECT j, list(p ORDER BY i) AS col FROM a GROUP BY 1), tab AS (SELECT list(col ORDER BY j) AS cols FROM cols),
  vec AS (SELECT list(exp(-0.01e0 * e) ORDER BY i) AS miss, list(exp(-h) - CASE WHEN dt IS NULL THEN 0e0 ELSE exp(-h - c * dt) END ORDER BY i) AS pi FROM ect),
  fwd AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS win, pi AS alpha, 0e0 AS ll FROM obs, vec UNION ALL
   SELECT user_id, win + 1, list_transform(x, lambda v: v / list_sum(x)), ll + ln(list_sum(x)) FROM (SELECT fwd.user_id, fwd.win, ll,
-   list_transform(range(1, 17), lambda j: list_dot_product(alpha, cols[j]) * CASE ob WHEN 0 THEN miss[j] WHEN 1 THEN 1 - miss[j] ELSE 1e0 END) AS x FROM fwd JOIN obs ON obs.user_id = fwd.user_id AND obs.win = fwd.win, tab, vec) y)
- SELECT user_id, round(ll, 6) AS ll FROM fwd, ext WHERE win = windows""")
+   list_transform(range(1, 17), lambda j: list_dot_product(alpha, cols[j]) * CASE ob WHEN 0 THEN miss[j] WHEN 1 THEN 1 - miss[j] ELSE 1e0 END) AS x FROM fwd JOIN obs ON obs.user_id = fwd.user_id AND obs.win = fwd.win, tab, vec) y)"""
+
+
+@query("m7_forward_likelihood", f"{FORWARD} SELECT user_id, round(ll, 6) AS ll FROM fwd, ext WHERE win = windows")
 def m7(spark, d):
     """The log-likelihood of each user's windows under the default history."""
     one = np.array([1e-2])
     return rounded(likelihoods(packed_users(spark, d), (*hmm.default_history(), one, one), "user_id"), "ll")
 
 
+SCAN_BLOCK = 16
+
+
+@query("w7_forward_scan", f"{FORWARD} SELECT user_id, (win - 1) // {SCAN_BLOCK} AS b, round(ll, 6) AS ll FROM fwd, ext WHERE win > 0 AND (win = windows OR win % {SCAN_BLOCK} = 0)")
+def w7_scan(spark, d):
+    """The log-likelihood of each user's windows up to the end of each block, blocks being multiplied apart and then joined."""
+    one = np.array([1e-2])
+    tables = hmm.tables_of(*hmm.default_history(), one, one)
+    found = scan.forward(A.observations(spark, d), "user_id", tables, SCAN_BLOCK)
+    return rounded(found.select("user_id", "b", "ll"), "ll")
+
+
 @query("u1_fit_contigs")
 def u1(spark, d):
     """From the calls of three contigs to posterior histories: sixty particles and ten steps; a whole fit has 500 and 1000."""

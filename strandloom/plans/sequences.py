@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import genealogy, het
 from ..sources import adapters as A
-from ..sources import text, trees
+from ..sources import blocks, text, trees
 from ..sources.scratch import shared_folder
 from .queries import SIZE
 from .registry import query
@@ -64,3 +64,23 @@ def a3_repeated(spark, d):
     lines.write.text(folder)
     spark.range(1).select(F.lit(head).alias("value")).write.mode("append").text(folder)
     return het.spectrum(text.read_vcf(spark, folder, names), A.PLOIDS)
+
+
+@query("s2_indexed_region", f"""WITH {A.CALLS}, e AS (SELECT max(pos) // 4 AS lo, max(pos) * 3 // 4 AS hi FROM calls), s AS (SELECT DISTINCT contig, pos FROM calls, e WHERE contig = 'R' AND pos > lo AND pos <= hi)
+ SELECT s.contig, s.pos, CAST(n.range AS VARCHAR) AS sample, CAST(a0 AS INT) AS a0, CAST(a1 AS INT) AS a1 FROM s CROSS JOIN range(1, {A.SAMPLES + 1}) n LEFT JOIN calls c ON c.contig = s.contig AND c.pos = s.pos AND c.sample = n.range""")
+def s2(spark, d):
+    """The middle half of a contig, from the blocks that the indexes of its files have for it."""
+    calls = A.calls(spark, d)
+    genotype = F.struct("sample", F.concat_ws("|", "a0", "a1").alias("gt"))
+    sites = calls.groupBy("contig", "pos").agg(F.map_from_entries(F.collect_list(genotype)).alias("gt"))  # a sample has one call of a site
+    names = [str(i) for i in range(1, A.SAMPLES + 1)]
+    columns = [F.coalesce(F.col("gt")[F.lit(i).cast("long")], F.lit("./.")) for i in range(1, A.SAMPLES + 1)]
+    value = F.concat_ws("\t", "contig", F.col("pos").cast("string"), *map(F.lit, (".", "A", "T", ".", ".", ".", "GT")), *columns)
+    rows = sites.select(F.concat_ws("-", "contig", F.floor(F.col("pos") / FILE_SPAN)).alias("name"), "contig", "pos", value.alias("value"))
+    head = ["##fileformat=VCFv4.2", "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *names])]
+    folder = shared_folder(spark, "calls")
+    blocks.write_call_files(rows, head, folder).agg(F.sum("bytes")).collect()
+    end = calls.agg(F.max("pos").alias("n")).first().n or 0
+    within = ("R", end // 4, end * 3 // 4)
+    found = text.calls_of_lines(blocks.read_lines(spark, folder, within), names, names, within)
+    return found.select("contig", "pos", "sample", "a0", "a1")

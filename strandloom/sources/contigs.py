@@ -222,12 +222,12 @@ def trees_contig(spark: SparkSession, path: str, pairs: list[tuple[int, int]] |
 def contig(spark: SparkSession, path: str, samples: list | None = None, region: str | None = None, window: int = 100) -> Source:
     """A file's source, by its ending.
 
-    Call files (.vcf, .vcf.gz, .vcf.bgz) need names of samples and a region,
+    Call files (.vcf, .vcf.gz, .vcf.bgz, .bcf) need names of samples and a region,
     contig:start-end. Tree sequences (.trees, .ts) take pairs of nodes, by
     default those of the individuals, and no region. PSMC-FASTA files (.psmcfa,
     .fa, also with .gz) take neither; `window` is theirs.
     """
-    if path.endswith((".vcf", ".vcf.gz", ".vcf.bgz")):
+    if path.endswith((".vcf", ".vcf.gz", ".vcf.bgz", ".bcf")):
         if region is None:
             raise ValueError("a call file needs a region, contig:start-end")
         return vcf_contig(spark, path, samples, region)
@@ -237,7 +237,7 @@ def contig(spark: SparkSession, path: str, samples: list | None = None, region:
         return trees_contig(spark, path, samples)
     if path.endswith((".psmcfa", ".psmcfa.gz", ".fa", ".fa.gz")):
         return record_contigs(psmcfa_records(spark, [path]), window)
-    raise ValueError(f"no source reads {path}; there are .vcf, .vcf.gz, .vcf.bgz, .trees, .ts, .psmcfa and .fa")
+    raise ValueError(f"no source reads {path}; there are .vcf, .vcf.gz, .vcf.bgz, .bcf, .trees, .ts, .psmcfa and .fa")
 
 
 @dataclass(frozen=True)

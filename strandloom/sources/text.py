@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bcf, blocks
+
 def decode_symbols(rows: DataFrame, keys: list[str], sequence: str) -> DataFrame:
     """(keys, win, ob): K is 1, N is -1, any other symbol 0."""
     symbols = rows.select(*keys, F.posexplode(F.split(sequence, "")).alias("_i", "_s")).filter("_s <> ''")
@@ -28,7 +30,13 @@ def read_psmcfa(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def vcf_lengths(spark: SparkSession, path: str) -> dict[str, int]:
     """The contigs of the header and their lengths; those without a length are left out."""
-    return {r.contig: r.length for r in header_lengths(spark.read.text(path)).collect()}  # a row for each header line
+    if path.endswith(".bcf"):
+        return bcf.read_head(path)[0].lengths
+    if blocks.is_blocked(path):
+        lines = spark.createDataFrame([(x,) for x in blocks.head_lines(path)], "value string")
+    else:
+        lines = spark.read.text(path)
+    return {r.contig: r.length for r in header_lengths(lines).collect()}  # a row for each header line
 
 
 def header_lengths(lines: DataFrame) -> DataFrame:
@@ -40,6 +48,13 @@ def header_lengths(lines: DataFrame) -> DataFrame:
 
 def vcf_samples(spark: SparkSession, path: str) -> list[str]:
     """The samples of the header line, of which a file has one."""
+    if path.endswith(".bcf"):
+        return bcf.read_head(path)[0].samples
+    if blocks.is_blocked(path):
+        found = [x for x in blocks.head_lines(path) if x.startswith("#CHROM")]
+        if not found:
+            raise ValueError("the file has no header line")
+        return found[0].split("\t")[9:]
     head = spark.read.text(path).filter(F.startswith("value", F.lit("#CHROM"))).first()
     if head is None:
         raise ValueError("the file has no header line")
@@ -52,6 +67,11 @@ def read_vcf(spark: SparkSession, path: str, samples: list[str] | None = None, r
     region is contig:start-end and takes positions above start up to end. A
     haploid genotype has its one allele and a missing one. record tells the
     lines of the file apart, whose positions and alleles may repeat.
+
+    A block-compressed file is read in splits, and with an index beside it a
+    region reads only the blocks that the index has for it. A binary file
+    (.bcf) is read through its index, or else by one task. Files compressed
+    otherwise are one task's, plain ones are split.
     """
     header = vcf_samples(spark, path)
     wanted = header if samples is None else samples
@@ -59,11 +79,20 @@ def read_vcf(spark: SparkSession, path: str, samples: list[str] | None = None, r
         raise ValueError("samples must be a list of names that is not empty")
     if absent := sorted(set(wanted) - set(header)):
         raise ValueError(f"samples not in the file: {', '.join(absent)}")
+    within = None if region is None else parse_region(region)
+    if path.endswith(".bcf"):
+        return bcf.read_bcf(spark, path, wanted, within)
+    lines = blocks.read_lines(spark, path, within) if blocks.is_blocked(path) else spark.read.text(path)
+    return calls_of_lines(lines, header, wanted, within)
+
+
+def calls_of_lines(lines: DataFrame, header: list[str], wanted: list[str], within: tuple[str, int, int] | None = None) -> DataFrame:
+    """The wanted samples' calls in the data lines (value) of a file whose samples are header's."""
     fields = F.split("value", "\t")
-    rows = spark.read.text(path).filter(~F.startswith("value", F.lit("#")) & (F.col("value") != "")).select(F.monotonically_increasing_id().alias("record"), fields.alias("f"))
+    rows = lines.filter(~F.startswith("value", F.lit("#")) & (F.col("value") != "")).select(F.monotonically_increasing_id().alias("record"), fields.alias("f"))
     rows = rows.select("record", F.col("f")[0].alias("contig"), F.col("f")[1].cast("long").alias("pos"), F.col("f")[3].alias("ref"), F.col("f")[4].alias("alt"), "f")
-    if region is not None:
-        contig, start, end = parse_region(region)
+    if within is not None:
+        contig, start, end = within
         rows = rows.filter((F.col("contig") == contig) & (F.col("pos") > start) & (F.col("pos") <= end))
     picked = F.array(*[F.struct(F.lit(s).alias("sample"), F.split(F.col("f")[9 + header.index(s)], ":")[0].alias("gt")) for s in wanted])
     long = rows.select("record", "contig", "pos", "ref", "alt", F.explode(picked).alias("x")).select("record", "contig", "pos", "ref", "alt", "x.sample", F.split("x.gt", r"[/|]").alias("g"))

@@ -46,6 +46,57 @@ def test_gradient_is_the_central_difference(warm):
         assert grad[:, j] == pytest.approx((look(x + move) - look(x - move)) / 2e-4, rel=2e-3, abs=2e-4)
 
 
+def dense(tables, obs, m=16):
+    """Values of the log-likelihood, a window at a time."""
+    a, miss, first = tables[:, : m * m].reshape(-1, m, m), tables[:, m * m : m * m + m], tables[:, m * m + m :]
+    out = np.zeros(len(tables))
+    for row in obs:
+        alpha = first
+        for x in row:
+            alpha = np.einsum("km,kmn->kn", alpha, a) * (1 if x < 0 else miss if x == 0 else 1 - miss)
+            out += np.log(alpha.sum(axis=1))
+            alpha = alpha / alpha.sum(axis=1, keepdims=True)
+    return out
+
+
+@pytest.mark.parametrize("width", [1, 2, 77, 400])
+def test_runs_are_the_windows(width):
+    """Values and every slope of the tables, on sequences of long and short runs."""
+    rng, x = np.random.default_rng(width), particles(2, width)
+    obs = np.array([np.repeat(rng.choice([-1, 0, 0, 1, 2], size=width), rng.integers(1, 40, size=width))[:width] for _ in range(3)])
+    tables = hmm.tables_of(*hmm.to_models(x, 0.2))
+    value, slope = hmm.run_slopes(tables, obs)
+    assert value == pytest.approx(dense(tables, obs), rel=1e-9)
+    for j in rng.choice(tables.shape[1], 40, replace=False):
+        h = 1e-6 * max(1e-3, abs(tables[:, j]).max())
+        up, down = tables.copy(), tables.copy()
+        up[:, j] += h
+        down[:, j] -= h
+        assert slope[:, j] == pytest.approx((dense(up, obs) - dense(down, obs)) / (2 * h), rel=2e-4, abs=1e-3 * max(1, abs(slope[:, j]).max()))
+
+
+def test_steps_go_with_runs_not_windows():
+    obs = np.zeros(1 << 16, np.int64)
+    obs[::1000] = 1
+    assert len(hmm.schedule(obs)) < 66 * (1 + 10) and len(hmm.schedule(obs[:0])) == 0
+    total = sum(1 << j for _, j in hmm.schedule(obs))
+    assert total == len(obs)
+
+
+def test_long_runs_stay_finite():
+    x, obs = particles(2), np.zeros((1, 1 << 20), np.int64)
+    value, grad = hmm.likelihood_slopes(x, 0.2, obs)
+    assert np.isfinite(value).all() and np.isfinite(grad).all()
+
+
+def test_ragged_rows():
+    import pyarrow as pa
+
+    rows = fit.rows_of(pa.array([[0, 1], [1], [], [0, 0, 1]], pa.list_(pa.int8())))
+    assert rows.tolist() == [[0, 1, -1], [1, -1, -1], [-1, -1, -1], [0, 0, 1]]
+    assert fit.rows_of(pa.array([[0, 1], [1, 1]], pa.list_(pa.int8())).slice(1)).tolist() == [[1, 1]]
+
+
 def test_blocks_add_up(spark, monkeypatch):
     rng, x = np.random.default_rng(4), particles(5, 1)
     rows = [(i, rng.choice([-1, 0, 1], size=25).tolist()) for i in range(40)]

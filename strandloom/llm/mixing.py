@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, partitions
 
 CONSTRAINTS = 1024
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,6 +31,16 @@ def capped_targets(sizes: list[int], weights: list[float], most: float) -> list[
     return targets
 
 
+def tilted(cells: DataFrame, tilts: DataFrame) -> DataFrame:
+    """(ids, p): the tokens of each cell (ids, mass) under the multipliers (_id, _tilt), of which it needs all of its own.
+
+    Cells of one constraint each, as sources are, need no more than the join.
+    """
+    each = cells.select("ids", "mass", F.explode("ids").alias("id")).join(tilts, F.col("id") == F.col("_id"))
+    sums = each.groupBy("ids", "mass").agg(F.sum("_tilt").alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    return sums.filter(F.col("_n") == F.size("ids")).select("ids", (F.col("mass") * F.exp("_sum")).alias("p"))
+
+
 def balance(cells: DataFrame, targets: dict[str, float], tolerance: float = 1e-10, rounds: int = 60) -> dict[str, float]:
     """Multipliers of the convex dual of entropy balancing.
 
@@ -55,9 +65,7 @@ def balance(cells: DataFrame, targets: dict[str, float], tolerance: float = 1e-1
 
     def look(point: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         tilt = F.broadcast(spark.createDataFrame([(k, float(point[i])) for k, i in place.items()], "_id string, _tilt double"))
-        each = cells.select("ids", "mass", F.explode("ids").alias("id")).join(tilt, F.col("id") == F.col("_id"))
-        sums = each.groupBy("ids", "mass").agg(F.sum("_tilt").alias("_sum"), F.count(F.lit(1)).alias("_n"))
-        sums = sums.filter(F.col("_n") == F.size("ids")).select("ids", (F.col("mass") * F.exp("_sum")).alias("p"))
+        sums = tilted(cells, tilt)
         pairs = sums.select("p", "ids", F.explode("ids").alias("i")).select("p", "i", F.explode("ids").alias("j"))
         hessian = np.zeros((len(names), len(names)))
         for r in pairs.groupBy("i", "j").agg(F.sum("p").alias("p")).collect():
@@ -80,25 +88,49 @@ def balance(cells: DataFrame, targets: dict[str, float], tolerance: float = 1e-1
     return {k: float(at[place[k]]) if k in place else -np.inf for k in targets}
 
 
-def tilt(mass: Column, target: Column, rounds: int = 80) -> Column:
-    """The multiplier that minimises the dual mass * exp(x) - target * x, by Newton steps; minus infinity for no target.
+def newton(classes: DataFrame, sources: DataFrame, tolerance: float = 1e-12, rounds: int = 200) -> DataFrame:
+    """sources (_source, target) with _tilt, the multipliers of the convex dual of entropy balancing.
 
-    Where no document counts for two constraints, the dual falls apart into one
-    such problem for each constraint, and a step needs nothing of the others:
-    the steps of all run side by side, a row each, wherever the rows are.
+    classes is (_source, size, n): how many documents have a source and a size.
+    The dual is the tokens of all documents at their rates, exp of the source's
+    multiplier, less each multiplier times its target. A round is one
+    distributed aggregation over the classes, which gives each source the
+    dual's slope and curvature; a document counts for one source, so the
+    curvatures off the diagonal are zero, and a source's step is its slope over
+    its curvature. Multipliers stay a table; what reaches the driver is the
+    largest slope, as a share of its target. From rate one, a step overshoots
+    upwards once at most and then falls to the root. Sources without a target
+    or tokens get minus infinity.
     """
-    share = target / mass
-    newton = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.lit(0.0), lambda x, _: x - 1 + share * F.exp(-x))
-    return F.when((mass > 0) & (target > 0), newton).otherwise(F.lit(float("-inf")))
+    classes = materialize(classes, "size-classes")
+    state = materialize(sources.select("_source", "target", F.when(F.col("target") > 0, F.lit(0.0)).otherwise(F.lit(float("-inf"))).alias("_tilt")), "tilts")
+    for _ in range(rounds):
+        known = state.filter("target > 0").select(F.col("_source").alias("_s"), "target", "_tilt")
+        each = classes.join(known, F.col("_source") == F.col("_s"))
+        slopes = each.groupBy("_s").agg(F.sum(F.col("size") * F.col("n") * F.exp("_tilt")).alias("_mass"), F.first("target").alias("_goal"))
+        step = (F.col("_mass") - F.col("_goal")) / F.col("_mass")
+        met = state.join(slopes, F.col("_source") == F.col("_s"), "left")
+        moved = F.when(F.col("_mass") > 0, F.col("_tilt") - step).otherwise(F.lit(float("-inf")))
+        off = F.when(F.col("_mass") > 0, F.abs(F.col("_mass") - F.col("_goal")) / F.col("_goal"))
+        seen = Observation()
+        state = materialize(met.select("_source", "target", moved.alias("_tilt"), off.alias("_off")).observe(seen, F.max("_off").alias("most")).drop("_off"), "tilts")
+        if (seen.get["most"] or 0.0) <= tolerance:
+            return state
+    raise ArithmeticError(f"the multipliers have not settled in {rounds} rounds")
 
 
 def numbered(sources: DataFrame) -> DataFrame:
-    """Adds _nth, the place of each _source by code point; only counts of common beginnings meet in one task."""
-    head = sources.withColumn("_head", F.substring("_source", 1, 6))
-    before = Window.orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)
-    starts = head.groupBy(F.col("_head").alias("_h")).agg(F.count(F.lit(1)).alias("_n")).select("_h", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = F.row_number().over(Window.partitionBy("_head").orderBy("_source")) - 1
-    return head.withColumn("_row", within).join(starts, F.col("_head") == F.col("_h")).withColumn("_nth", F.col("_row") + F.col("_start")).drop("_head", "_h", "_row", "_start")
+    """Adds _nth, the place of each _source by code point, null last.
+
+    Names are dealt into ranges that a sample of them bounds, whatever they
+    begin with; a range is numbered by itself and begins where the counts of
+    earlier ranges end.
+    """
+    ranged = materialize(sources.repartitionByRange(partitions(sources.sparkSession), "_source").withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = ranged.groupBy(F.col("_range").alias("_r")).agg(F.count(F.lit(1)).alias("_n")).select("_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy("_source")) - 1
+    return ranged.withColumn("_row", within).join(starts, F.col("_range") == F.col("_r")).withColumn("_nth", F.col("_row") + F.col("_start")).drop("_range", "_r", "_row", "_start")
 
 
 def with_targets(sources: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:
@@ -174,7 +206,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
     rows = materialize(rows, "words")
     parts = materialize(rows.groupBy("_source", "size", "_salt").agg(F.count(F.lit(1)).alias("_n")), "classes")
     sources = with_targets(parts.groupBy("_source").agg(F.sum(F.col("size") * F.col("_n")).alias("source_size")), weights, most)
-    sources = sources.withColumn("rate", F.least(F.exp(tilt(F.col("source_size"), F.col("target"))), F.lit(float(most))))
+    tilts = newton(parts.groupBy("_source", "size").agg(F.sum("_n").alias("n")), sources).select(F.col("_source").alias("_ts"), "_tilt")
+    sources = sources.join(tilts, F.col("_source") == F.col("_ts")).withColumn("rate", F.least(F.exp("_tilt"), F.lit(float(most)))).drop("_ts", "_tilt")
     whole = F.floor(F.col("rate") + 1e-9).cast("int")
     classes = parts.groupBy("_source", "size").agg(F.sum("_n").alias("n")).join(sources.withColumnRenamed("_source", "_s"), F.col("_source") == F.col("_s")).drop("_s")
     share = F.when(whole >= most, 0.0).otherwise(F.greatest(F.col("rate") - whole, F.lit(0.0)))

@@ -304,6 +304,20 @@ def test_capped_targets():
     assert sum(mixing.capped_targets([7, 5, 0, 90], [5, 2, 1, 5], 3)) == pytest.approx(102)
 
 
+def test_newton_steps_reach_the_targets(spark):
+    """Multipliers of sources far above and below their targets; names that begin alike; no target, no tokens."""
+    rng = random.Random(3)
+    sizes = {f"https://www.example.org/{i:04d}": [(rng.randint(1, 900), rng.randint(1, 50)) for _ in range(4)] for i in range(60)}
+    goal = {k: sum(a * n for a, n in v) * rng.choice((1e-5, 0.3, 1.0, 2.9)) for k, v in sizes.items()} | {"none": 0.0, "empty": 5.0}
+    classes = spark.createDataFrame([(k, a, n) for k, v in sizes.items() for a, n in v] + [("none", 3, 3), ("empty", 0, 2)], "_source string, size long, n long")
+    found = {r._source: r._tilt for r in mixing.newton(classes, spark.createDataFrame(list(goal.items()), "_source string, target double")).collect()}
+    assert found.keys() == goal.keys() and found["none"] == found["empty"] == -math.inf
+    for k, v in sizes.items():
+        assert math.exp(found[k]) == pytest.approx(goal[k] / sum(a * n for a, n in v), rel=1e-9)
+    named = mixing.numbered(spark.createDataFrame([(k,) for k in goal], "_source string").repartition(7)).collect()
+    assert [r._source for r in sorted(named, key=lambda r: r._nth)] == sorted(goal)
+
+
 def test_balance_two_margins(spark):
     masses = {("a", "x"): 40.0, ("a", "y"): 10.0, ("b", "x"): 20.0, ("b", "y"): 30.0}
     cells = spark.createDataFrame([(list(k), v) for k, v in masses.items()], "ids array<string>, mass double")

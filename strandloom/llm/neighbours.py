@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, small_arrow_batches
+from .common import materialize, small_arrow_batches
 from .embeddings import as_matrix, usable
 
 SAMPLE, MOST_LEAVES = 8192, 512
+BATCH = 256  # rows verified at once
 ROUNDING = 1e-20  # of a square, far below what double precision tells apart
 
 
@@ -50,44 +51,75 @@ def kd_leaves(points: np.ndarray, size: int = 128) -> list[np.ndarray]:
     return out
 
 
-def search_block(ids: np.ndarray, data: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, bounds: np.ndarray, k: int, stop: float, axes: np.ndarray) -> list[tuple[int, int, float]]:
-    """(number of the query, neighbour, distance): the k nearest that each query finds in this block.
-
-    Neighbours beyond a query's bound are not looked for.
-
-    Leaves are visited by growing distance of their boxes in the projection, and
-    points that the test leaves open are verified on the original vectors. With
-    d the k-th distance so far, a point nearer than d has a projection beyond
-    stop * d ** 2 with the test's small probability only, so such points are
-    passed over, and the search stops at the first such box.
-    """
-    flat = data @ axes
-    leaves = kd_leaves(flat)
-    order = np.concatenate(leaves)
-    ids, data, flat = ids[order], data[order], flat[order]
-    ends = np.cumsum([len(x) for x in leaves])
-    starts = ends - [len(x) for x in leaves]
-    low = np.array([flat[a:b].min(axis=0) for a, b in zip(starts, ends, strict=True)])
-    high = np.array([flat[a:b].max(axis=0) for a, b in zip(starts, ends, strict=True)])
-    out = []
-    for nth, (own, query, bound) in enumerate(zip(query_ids.tolist(), queries, bounds.tolist(), strict=True)):
-        at = query @ axes
-        box = (np.maximum(np.maximum(low - at, at - high), 0) ** 2).sum(axis=1)
+class Block:
+    """Rows of a block with their projections, in the leaves of a kd-tree."""
+
+    def __init__(self, ids: np.ndarray, data: np.ndarray, axes: np.ndarray):
+        flat = data @ axes
+        leaves = kd_leaves(flat)
+        order = np.concatenate(leaves)
+        self.axes = axes
+        self.ids, self.data, self.flat = ids[order], data[order], flat[order]
+        self.ends = np.cumsum([len(x) for x in leaves])
+        self.starts = self.ends - [len(x) for x in leaves]
+        self.low = np.array([self.flat[a:b].min(axis=0) for a, b in zip(self.starts, self.ends, strict=True)])
+        self.high = np.array([self.flat[a:b].max(axis=0) for a, b in zip(self.starts, self.ends, strict=True)])
+        self.verified = 0
+
+    def by_projection(self, at: np.ndarray, most: Callable[[], float]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows, squares of projected distances): batches of rows, nearest in the projection first, up to most().
+
+        Leaves are opened by the distance of their boxes; rows of opened leaves
+        are handed on once no box that is still closed can hold a nearer one.
+        """
+        box = (np.maximum(np.maximum(self.low - at, at - self.high), 0) ** 2).sum(axis=1)
+        order = np.argsort(box, kind="stable")
+        box = box[order]
+        rows, gaps, nth, done = np.zeros(0, np.int64), np.zeros(0), 0, 0
+        while True:
+            reach = gaps[done] if done < len(rows) else (box[nth] if nth < len(box) else math.inf)
+            if nth < len(box) and box[nth] <= min(reach, most()):
+                after = int(np.searchsorted(box, min(reach, most()), "right"))
+                new = np.concatenate([np.arange(self.starts[x], self.ends[x]) for x in order[nth:after]])
+                nth = after
+                rows, gaps = np.concatenate([rows[done:], new]), np.concatenate([gaps[done:], ((self.flat[new] - at) ** 2).sum(axis=1)])
+                sort = np.argsort(gaps, kind="stable")
+                rows, gaps, done = rows[sort], gaps[sort], 0
+                continue
+            if done == len(rows) or gaps[done] > most():
+                return
+            upto = min(done + BATCH, int(np.searchsorted(gaps, box[nth], "right")) if nth < len(box) else len(gaps))
+            yield rows[done:upto], gaps[done:upto]
+            done = upto
+
+    def search(self, own: int, query: np.ndarray, bound: float, k: int, stop: float) -> tuple[np.ndarray, np.ndarray]:
+        """The ids and squared distances of the k rows nearest to a query that are found within its bound.
+
+        With d the k-th distance so far, a row nearer than d is projected beyond
+        stop * d ** 2 with the test's small probability only. So rows are
+        verified on the original vectors in the order of the projection, until
+        the next one's projected distance is beyond that.
+        """
         limit, slack = bound**2 * (1 + 1e-9), ROUNDING * float(query @ query)  # copies need not project to equal numbers
         best_d, best_i, worst = np.zeros(0), np.zeros(0, np.int64), limit
-        for leaf in np.argsort(box, kind="stable").tolist():
-            if box[leaf] > stop * worst + slack:
-                break
-            a, b = starts[leaf], ends[leaf]
-            open_ = a + np.flatnonzero((((flat[a:b] - at) ** 2).sum(axis=1) <= stop * worst + slack) & (ids[a:b] != own))
-            if not len(open_):
-                continue
-            square = ((data[open_] - query) ** 2).sum(axis=1)
-            best_d, best_i = np.concatenate([best_d, square]), np.concatenate([best_i, ids[open_]])
+        most = lambda: stop * worst + slack
+        for rows, gaps in self.by_projection(query @ self.axes, most):
+            rows = rows[(gaps <= most()) & (self.ids[rows] != own)]
+            self.verified += len(rows)
+            square = ((self.data[rows] - query) ** 2).sum(axis=1)
+            best_d, best_i = np.concatenate([best_d, square]), np.concatenate([best_i, self.ids[rows]])
             first = np.lexsort((best_i, best_d))[:k]
             best_d, best_i = best_d[first], best_i[first]
             worst = min(limit, best_d[-1]) if len(first) == k else limit
-        out += zip([nth] * len(best_i), best_i.tolist(), np.sqrt(best_d).tolist(), strict=True)
+        return best_i, best_d
+
+
+def search_block(ids: np.ndarray, data: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, bounds: np.ndarray, k: int, stop: float, axes: np.ndarray) -> list[tuple[int, int, float]]:
+    """(number of the query, neighbour, distance): the k nearest that each query finds in this block."""
+    block, out = Block(ids, data, axes), []
+    for nth, (own, query, bound) in enumerate(zip(query_ids.tolist(), queries, bounds.tolist(), strict=True)):
+        found, square = block.search(own, query, bound, k, stop)
+        out += zip([nth] * len(found), found.tolist(), np.sqrt(square).tolist(), strict=True)
     return out
 
 
@@ -125,7 +157,7 @@ def _project(column: pa.Array, seed: int, projections: int) -> np.ndarray:
     return out
 
 
-def nearest(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", projections: int = 8, confidence: float = 0.995, block_rows: int = 16_384, query_rows: int = 4096, sample: int = SAMPLE, seed: int = 11) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", projections: int = 24, confidence: float = 0.97, block_rows: int = 8192, query_rows: int = 4096, sample: int = SAMPLE, seed: int = 11) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest by Euclidean distance.
 
     Queries are the rows whose id is divisible by `every`; candidates all rows
@@ -135,7 +167,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "ve
     is its bound, and by the stopping test it goes on only to the leaves whose
     boxes the bound leaves open. Leaves, of which there are MOST_LEAVES at most,
     are cut by hash into blocks of about block_rows, each with a finer kd-tree
-    of its own. A neighbour is lost with a probability of about 1 - confidence,
+    of its own, which hands on rows in the order of their projections. A neighbour is lost with a probability of about 1 - confidence,
     whatever the number of rows.
 
     Vectors null, zero or with null or non-finite components take no part, nor
@@ -151,7 +183,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "ve
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"))
     rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("vector"))).withColumn("size", F.size("vector"))
     count = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("size").alias("sizes")).first()
-    wanted = max(1, -(-count.n // block_rows), min(partitions(spark), count.n // 2048))
+    wanted = max(1, -(-count.n // block_rows))  # by rows alone: which neighbours are missed does not change with a session
     depth = int(math.log2(min(MOST_LEAVES, wanted)))
     axes, cuts = np.zeros(0, np.int64), np.zeros(0)
     if depth:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import history as H
 from ..sources import contigs as C
 from . import fit as stein
-from . import sampling, windows
+from . import quantiles, sampling, windows
 
 KEYS = ["contig", "sample", "k"]
 
@@ -78,8 +78,7 @@ def scale(chunks: DataFrame, overlap: int, window: int) -> float:
 def sequences(source: C.Source, window: int, samples: int) -> tuple[DataFrame, list[float] | None]:
     """(obs) of a contig's first samples, each behind one missing window, and its spectrum."""
     seen = source.observe(window)
-    first = F.dense_rank().over(Window.orderBy("contig", F.length("sample"), "sample"))
-    names = seen.het.select("contig", "sample").distinct().withColumn("_nth", first).filter(F.col("_nth") <= samples).drop("_nth")
+    names = seen.het.select("contig", "sample").distinct().orderBy("contig", F.length("sample"), "sample").limit(samples)
     rows = seen.het.join(names, ["contig", "sample"]).groupBy("contig", "sample").agg(F.array_sort(F.collect_list(F.struct("win", "ob"))).alias("_x"))
     clipped = F.transform("_x", lambda x: F.greatest(F.lit(-1), F.least(F.lit(1), x["ob"])).cast("byte"))
     return rows.select(F.concat(F.array(F.lit(-1).cast("byte")), clipped).alias("obs")), counts_of(seen.spectrum, source.ploids)
@@ -126,10 +125,11 @@ def bands(histories: DataFrame, points: int = 1000, width: float | None = 0.95)
 
     lo and hi bound the middle `width` of the sizes at each point; without it, there is no band.
     """
-    ends = histories.select(F.explode(F.slice("t", 2, F.size("t"))).alias("t")).agg(F.percentile("t", [0.025, 0.975]).alias("_q"))
+    times = histories.select(F.lit(0).alias("_all"), F.explode(F.slice("t", 2, F.size("t"))).alias("t"))
+    ends = quantiles.quantiles(times, ["_all"], "t", [0.025, 0.975]).select(F.col("q").alias("_q"))
     lo, hi = F.col("_q")[0], F.col("_q")[1]
     grid = ends.select(F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: lo * F.pow(hi / lo, i / F.lit(float(points - 1))))).alias("k", "x"))
     sizes = histories.select("t", "c").crossJoin(F.broadcast(grid)).select(F.col("k").cast("long").alias("k"), "x", (1 / (2 * H.rate_at(F.col("t"), F.col("c"), F.col("x")))).alias("ne"))  # `points` rows
     at = [0.5] if width is None else [0.5, (1 - width) / 2, (1 + width) / 2]
-    found = sizes.groupBy("k", "x").agg(F.percentile("ne", at).alias("_q"))
+    found = quantiles.quantiles(sizes, ["k", "x"], "ne", at).withColumnRenamed("q", "_q")
     return found.select("k", "x", *[F.col("_q")[i].alias(name) for i, name in enumerate(("median", "lo", "hi")[: len(at)])])

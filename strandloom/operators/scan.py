@@ -10,18 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hmm
-from ..sources.scratch import shared_folder
+from ..sources.scratch import kept
 
 BLOCK, FAN = 4096, 64
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """df as written to the shared folder: what comes after reads it more than once, and a lost executor costs none of it."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def products(obs: DataFrame, key: str, tables: np.ndarray, block: int = BLOCK) -> DataFrame:
     """(key, model, b, product, scale): of each block of windows the product of its steps, for each model.
 
@@ -101,10 +94,10 @@ def forward(obs: DataFrame, key: str, tables: np.ndarray, block: int = BLOCK) ->
     many rounds as the number of blocks has digits to the base FAN, and no task
     sees more than FAN matrices of a sequence.
     """
-    levels = [_kept(products(obs, key, tables, block), "scan-blocks")]
+    levels = [kept(products(obs, key, tables, block), "scan-blocks")]
     blocks = (levels[0].agg(F.max("b").alias("b")).first().b or 0) + 1
     while blocks > 1:
-        levels.append(_kept(_by_group(levels[-1], key, "b long, product array<double>, scale double", _upward), "scan-up"))
+        levels.append(kept(_by_group(levels[-1], key, "b long, product array<double>, scale double", _upward), "scan-up"))
         blocks = -(-blocks // FAN)
     m = int(np.sqrt(tables.shape[1] + 1)) - 1
     starts = obs.sparkSession.createDataFrame([(i, row[m * m + m :].tolist()) for i, row in enumerate(tables)], "_model long, state array<double>")

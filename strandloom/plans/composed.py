@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import history as H
 from ..functions import hmm
-from ..operators import coalescent, posterior, scan
+from ..operators import coalescent, posterior, quantiles, scan
 from ..operators.fit import likelihoods
 from ..sources import adapters as A
 from ..sources import contigs as C
@@ -93,6 +93,27 @@ def k2(spark, d):
     return rounded(posterior.bands(A.table(spark, d, "embeddings").select(t.alias("t"), c.alias("c"))), "x", "median", "lo", "hi")
 
 
+@query("k5_live_summary", f"""WITH {PARTICLES}, ends AS (SELECT min(t) FILTER (i = 1) AS lo, max(t) FILTER (i = 15) AS hi FROM particles), grid AS (SELECT CAST(r.range AS BIGINT) AS k, lo * pow(hi / lo, r.range / 999e0) AS x FROM ends, range(1000) r),
+ h AS (SELECT *, lead(t) OVER (PARTITION BY vec_id ORDER BY i) AS nxt FROM particles), v AS (SELECT k, x, 1 / (2 * c) AS ne FROM grid JOIN h ON x >= t AND (nxt IS NULL OR x < nxt) WHERE c > 0.1e0)
+ SELECT k, count(*) AS finite, round(quantile_cont(ne, 0.025e0), 6) AS lo, round(quantile_cont(ne, 0.5e0), 6) AS median, round(quantile_cont(ne, 0.975e0), 6) AS hi FROM v GROUP BY k""")
+def k5(spark, d):
+    """Bands of one iteration's particles at a thousand times from their first to their last; rates near zero have no size and are passed over."""
+    e = lambda i: F.element_at("embedding", i).cast("double")
+    first, last = F.exp(e(1)), F.exp(e(1)) * (1 + F.exp(e(2)) / F.exp(e(1)))
+    rows = A.table(spark, d, "embeddings").select(first.alias("first"), (F.exp(e(2)) / F.exp(e(1))).alias("ratio"), last.alias("last"), F.slice("embedding", 3, 15).alias("free"))
+    ends = rows.agg(F.min("first").alias("lo"), F.max("last").alias("hi"))
+    points = F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: F.col("lo") * F.pow(F.col("hi") / F.col("lo"), i / F.lit(999.0)))
+    grid = ends.select(F.posexplode(points).alias("k", "x"))
+    index = F.sequence(F.lit(0), F.lit(15))
+    t = F.transform(index, lambda i: F.when(i == 0, 0.0).otherwise(F.col("first") * F.pow(1 + F.col("ratio"), (i - 1) / F.lit(14.0))))
+    c = F.transform(index, lambda i: F.log1p(F.exp(F.element_at("free", F.least(i, F.lit(14)) + 1).cast("double"))))
+    curves = rows.select(t.alias("t"), c.alias("c")).crossJoin(F.broadcast(grid))  # a thousand times, whatever the input
+    rate = H.rate_at(F.col("t"), F.col("c"), F.col("x"))
+    sizes = curves.select(F.col("k").cast("long").alias("k"), F.when(rate > 0.1, 1 / (2 * rate)).alias("ne"))
+    found = quantiles.quantiles(sizes, ["k"], "ne", [0.025, 0.5, 0.975])
+    return rounded(found.select("k", F.col("n").alias("finite"), F.col("q")[0].alias("lo"), F.col("q")[1].alias("median"), F.col("q")[2].alias("hi")), "lo", "median", "hi")
+
+
 @query("h21_inverse_at", f"WITH {A.ETA}, y AS (SELECT (r.range - 4) / 4e0 AS y FROM range(20) r) SELECT vec_id, y, round(CASE WHEN y >= 0 THEN t + (y - h) / c END, 6) AS x FROM y JOIN eta ON (h <= y AND (dt IS NULL OR y < h + c * dt)) OR (y < 0 AND i = 0)")
 def h21(spark, d):
     """Where a history's hazard reaches y; no number below zero."""

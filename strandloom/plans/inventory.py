@@ -55,15 +55,6 @@ def a16(spark, d):
     return rows.groupBy("x").agg(F.max_by("vec_id", F.struct("_d", -F.col("vec_id"))).alias("best"))
 
 
-@query("k5_live_summary", f"WITH {ON_GRID}, v AS (SELECT round(x, 9) AS x, 1 / (2 * c) AS ne FROM met WHERE c > 0.1e0) SELECT x, count(*) AS finite, round(quantile_cont(ne, 0.025e0), 6) AS lo, round(quantile_cont(ne, 0.5e0), 6) AS median, round(quantile_cont(ne, 0.975e0), 6) AS hi FROM v GROUP BY 1")
-def k5(spark, d):
-    """Bands of one iteration's particles; rates near zero have no size and are passed over."""
-    rate = H.rate_at(F.col("t"), F.col("c"), F.col("x"))
-    rows = rounded(on_grid(spark, d).select("x", F.when(rate > 0.1, 1 / (2 * rate)).alias("ne")), "x", digits=9)
-    bands = rows.groupBy("x").agg(F.count("ne").alias("finite"), F.percentile("ne", [0.025, 0.5, 0.975]).alias("q")).filter("finite > 0")
-    return rounded(bands.select("x", "finite", F.col("q")[0].alias("lo"), F.col("q")[1].alias("median"), F.col("q")[2].alias("hi")), "lo", "median", "hi")
-
-
 @query("m1_from_linear", f"WITH {A.ETA} SELECT vec_id, round(ln(min(t) FILTER (i = 1)), 6) AS first, round(ln(max(t) - min(t) FILTER (i = 1)), 6) AS span, round(sum(c + ln(1 - exp(-c))), 5) AS rates FROM eta GROUP BY 1")
 def m1(spark, d):
     """Unconstrained parameters: logarithms of the grid's ends, and the rates' inverse softplus, added up."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import history as H
-from ..operators import het, intervals, ordering, spectra, windows
+from ..operators import het, intervals, ordering, quantiles, spectra, windows
 from ..sources import adapters as A
 from .registry import query
 
@@ -356,7 +356,7 @@ def h6(spark, d):
 @query("k2_posterior_bands", f"WITH {A.ETA}, {GRID}, v AS (SELECT x, 1 / (2 * c) AS ne FROM x JOIN eta ON t <= x AND (dt IS NULL OR x < t + dt)) SELECT round(x, 9) AS x, round(quantile_cont(ne, 0.025e0), 6) AS lo, round(quantile_cont(ne, 0.5e0), 6) AS median, round(quantile_cont(ne, 0.975e0), 6) AS hi FROM v GROUP BY 1")
 def k2(spark, d):
     rows = rounded(on_grid(spark, d).select("x", (1 / (2 * H.rate_at(F.col("t"), F.col("c"), F.col("x")))).alias("ne")), "x", digits=9)
-    bands = rows.groupBy("x").agg(F.percentile("ne", [0.025, 0.5, 0.975]).alias("q"))
+    bands = quantiles.quantiles(rows, ["x"], "ne", [0.025, 0.5, 0.975])
     return rounded(bands.select("x", F.col("q")[0].alias("lo"), F.col("q")[1].alias("median"), F.col("q")[2].alias("hi")), "lo", "median", "hi")
 
 

@@ -262,26 +262,27 @@ def _same_window(own: int, asked: int) -> None:
 
 
 def psmcfa_records(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file, record, contig, seq): the records in the order of the paths and within each file."""
+    """(file, record, contig, start, symbols): the records' lines, numbered in the order of the paths and within each file."""
     if not paths:
         raise ValueError("no files")
     rows = None
     for i, path in enumerate(paths):
-        one = text.psmcfa_sequences(spark, path).select(F.lit(i).alias("file"), "record", F.concat(F.lit(f"{i}:"), F.col("record").cast("string"), F.lit(":"), "contig").alias("contig"), "seq")
+        one = text.psmcfa_lines(spark, path).select(F.lit(i).alias("file"), "record", F.concat(F.lit(f"{i}:"), F.col("record").cast("string"), F.lit(":"), "contig").alias("contig"), "start", "symbols")
         rows = one if rows is None else rows.unionByName(one)
     return rows
 
 
 def record_contigs(records: DataFrame, window: int) -> RecordContigs:
-    """A source of records (contig, seq)."""
-    found = records.agg(F.min(F.length("seq")).alias("least"), F.count(F.lit(1)).alias("n")).first()
-    rows = text.decode_symbols(records.withColumn("windows", F.length("seq").cast("long")), ["contig", "windows"], "seq")
+    """A source of records' lines (contig, start, symbols)."""
+    sizes = records.groupBy(F.col("contig").alias("_c")).agg(F.sum(F.length("symbols")).cast("long").alias("windows"))
+    found = sizes.agg(F.min("windows").alias("least"), F.count(F.lit(1)).alias("n")).first()
+    rows = text.windows_of(records.join(sizes, F.col("contig") == F.col("_c")), ["contig", "windows"])
     return RecordContigs(rows, window, None if found.least is None else found.least * window, found.n)
 
 
 def held_out(records: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """The records but the first, and the first; all of them and None if there is only one."""
-    first = records.select("file", "record").orderBy("file", "record").limit(2).collect()
+    first = records.select("file", "record").distinct().orderBy("file", "record").limit(2).collect()
     if len(first) < 2:
         return records, None
     is_first = (F.col("file") == first[0].file) & (F.col("record") == first[0].record)

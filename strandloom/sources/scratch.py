@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
 
@@ -21,3 +21,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             _local[app] = tempfile.mkdtemp(prefix="spark-")
         root = _local[app]
     return f"{root.rstrip('/')}/strandloom-files/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as written to a shared folder: what comes after may read it more than once, and a lost executor costs none of it."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

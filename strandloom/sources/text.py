@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bcf, blocks
@@ -14,18 +14,40 @@ def decode_symbols(rows: DataFrame, keys: list[str], sequence: str) -> DataFrame
     return symbols.select(*keys, F.col("_i").cast("long").alias("win"), ob.cast("long").alias("ob"))
 
 
-def psmcfa_sequences(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(file, record, contig, seq): a file's records by number. A file is read as a whole, a record being of any length."""
-    whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value"))
-    records = whole.select("file", F.posexplode(F.split("value", ">")).alias("record", "_text")).filter(F.trim("_text") != "")
-    header = F.regexp_extract("_text", r"^(\S+)", 1)
-    body = F.regexp_replace(F.regexp_replace("_text", r"^[^\n]*\n", ""), r"\s", "")
-    return records.select("file", "record", header.alias("contig"), body.alias("seq"))
+def psmcfa_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, record, contig, start, symbols): a file's lines, with their records by number and where in these they begin.
+
+    Files are read in splits. A split's headers and symbols are counted by
+    itself; with one row for each split, the counts of earlier splits and the
+    end of their last header are carried to it. No task holds a file or record.
+    """
+    raw = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"), F.col("value"))
+    head = F.startswith("value", F.lit(">"))
+    rows = raw.withColumn("_head", head.cast("long")).withColumn("symbols", F.when(head, "").otherwise(F.regexp_replace("value", r"\s", "")))
+    own = Window.partitionBy("file", "_at").orderBy("_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_records", F.sum("_head").over(own)).withColumn("_end", F.sum(F.length("symbols")).over(own))
+    rows = rows.withColumn("_from", F.max(F.when(head, F.col("_end"))).over(own))
+    splits = rows.groupBy(F.col("file").alias("_f"), F.col("_at").alias("_a")).agg(F.max("_records").alias("_r"), F.max("_end").alias("_e"), F.max("_from").alias("_h"))
+    earlier = Window.partitionBy("_f").orderBy("_a").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda name: F.coalesce(F.sum(name).over(earlier), F.lit(0))
+    splits = splits.select("_f", "_a", before("_r").alias("_r0"), before("_e").alias("_e0"), "_h").withColumn("_h0", F.max(F.col("_e0") + F.col("_h")).over(earlier)).drop("_h")
+    met = rows.join(splits, (F.col("file") == F.col("_f")) & (F.col("_at") == F.col("_a")))
+    start = F.col("_e0") + F.col("_end") - F.length("symbols") - F.coalesce(F.col("_e0") + F.col("_from"), F.col("_h0"))
+    met = met.select("file", (F.col("_r0") + F.col("_records")).alias("record"), start.alias("start"), "symbols", "_head", "value")
+    names = met.filter("_head = 1").select(F.col("file").alias("_f"), F.col("record").alias("_n"), F.regexp_extract("value", r"^>(\S+)", 1).alias("contig"))
+    lines = met.filter("symbols <> ''").join(names, (F.col("file") == F.col("_f")) & (F.col("record") == F.col("_n")))
+    return lines.select("file", "record", "contig", F.col("start").cast("long").alias("start"), "symbols")
+
+
+def windows_of(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, win, ob) of lines (start, symbols)."""
+    rows = decode_symbols(lines, [*keys, "start"], "symbols")
+    return rows.select(*keys, (F.col("start") + F.col("win")).alias("win"), "ob")
 
 
 def read_psmcfa(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(file, contig, win, ob): one record a contig."""
-    return decode_symbols(psmcfa_sequences(spark, paths), ["file", "contig"], "seq")
+    return windows_of(psmcfa_lines(spark, paths), ["file", "contig"])
 
 
 def vcf_lengths(spark: SparkSession, path: str) -> dict[str, int]:

@@ -107,3 +107,48 @@ def test_blocks_add_up(spark, monkeypatch):
     for got, want in zip(fit.total_slopes(chunks, x, 0.2, 5), (value, grad), strict=True):
         assert got == pytest.approx(want, rel=1e-8, abs=1e-8)
     assert max(b[0].stop for b in fit.blocks(500, 10_000, 16 * 26)) <= 500 + fit.CELLS
+
+
+def test_a_step_reads_only_the_buckets_it_drew(spark, monkeypatch):
+    monkeypatch.setattr(fit, "BUCKET", 2)
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.choice([-1, 0, 1], size=9).tolist()) for i in range(60)]
+    store = fit.store_chunks(spark.createDataFrame(rows, "chunk_id long, obs array<byte>"))
+    assert (store.chunks, store.buckets) == (60, 30)
+    got = store.drawn(np.array([3, 33, 40, 3]))
+    assert sorted((r.chunk_id, list(r.obs)) for r in got.collect()) == sorted((i, rows[i][1]) for i in (3, 3, 33, 40))
+
+    def scanned(plan):
+        plan = plan.executedPlan() if "Adaptive" in plan.nodeName() else plan
+        found, todo = [], [plan]
+        while todo:
+            node = todo.pop()
+            if node.nodeName().startswith("AdaptiveSparkPlan"):
+                todo.append(node.executedPlan())
+                continue
+            if node.nodeName().startswith("Scan parquet"):
+                found.append(node.metrics().apply("numFiles").value())
+            kids = node.children()
+            todo += [kids.apply(i) for i in range(kids.size())]
+            if "QueryStage" in node.nodeName():
+                todo.append(node.plan())
+        return found
+
+    assert scanned(got._jdf.queryExecution().executedPlan()) == [2]  # 3 and 33 share a bucket of 30
+
+
+def test_a_lost_particle_does_not_stop_the_fit(spark, monkeypatch):
+    rows = [(i, [0, 1, 0, 0, 1, 0]) for i in range(4)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, obs array<byte>")
+    whole = fit.total_slopes
+
+    def some(*args):
+        value, slope = whole(*args)
+        slope[0] = np.nan
+        return value, slope
+
+    monkeypatch.setattr(fit, "total_slopes", some)
+    assert np.isfinite(fit.fit(chunks, 0.2, particles=4, iterations=2)).all()
+    monkeypatch.setattr(fit, "total_slopes", lambda *args: tuple(np.full_like(x, np.nan) for x in whole(*args)))
+    with pytest.raises(ArithmeticError, match="no finite slope"):
+        fit.fit(chunks, 0.2, particles=4, iterations=2)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import kept
 
-SPANS, FEW = 1024, 256
+SPANS, FEW = 128, 256
 BUFFER = 1 << 16  # values of a key that one aggregation buffer may hold
 BROADCAST = 1 << 17  # short rows
 
@@ -29,11 +29,11 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, at: list[float]) ->
 
     Where no key has more than BUFFER values this is percentile() itself. Else
     a key's values are never sorted or held together: the values between a
-    range's ends are counted in SPANS equal parts, by aggregation before the
-    shuffle; of a part that holds a wanted rank, the least and greatest value
-    are the next range's ends. That ends where a range holds one value, or at
-    most FEW rows, which are then looked at; each pass makes ranges about SPANS
-    times smaller. Nulls do not count; keys and values must not be null or
+    range's ends are counted in parts that approximate quantiles cut, by
+    aggregation before the shuffle; of a part that holds a wanted rank, the
+    least and greatest value are the next range's ends. That ends where a range
+    holds one value, or at most FEW rows, which are then looked at. However the
+    values are spread, each pass makes ranges almost SPANS times smaller. Nulls do not count; keys and values must not be null or
     not-a-number otherwise.
     """
     names = [F.col(k).alias(f"_k_{k}") for k in keys]
@@ -54,9 +54,14 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, at: list[float]) ->
 
     while not ranges.filter(wide).isEmpty():
         open_ = ranges.filter(wide)
-        place = F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * SPANS), F.lit(SPANS - 1))
-        parts = inside(open_).groupBy(*keys, "_lo", "_hi", "_before", place.alias("_part")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_a"), F.max("_v").alias("_b"))
-        earlier = Window.partitionBy(*keys, "_lo", "_hi").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # SPANS rows at most
+        near = inside(open_)
+        cuts = near.groupBy(*names, F.col("_lo").alias("_clo"), F.col("_hi").alias("_chi")).agg(F.percentile_approx("_v", [i / SPANS for i in range(1, SPANS)], 10 * SPANS).alias("_cuts"))
+        cuts = _small(kept(cuts, "quantile-cuts"))
+        near = near.drop(*[f"_k_{k}" for k in keys]).join(cuts, _matched(keys) & (F.col("_lo") == F.col("_clo")) & (F.col("_hi") == F.col("_chi")))
+        # a cut is a value of the range, and a part of its own, so that every pass makes ranges smaller
+        place = 2 * F.size(F.filter("_cuts", lambda c: c < F.col("_v"))) + F.array_contains("_cuts", F.col("_v")).cast("int")
+        parts = near.groupBy(*keys, "_lo", "_hi", "_before", place.alias("_part")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_a"), F.max("_v").alias("_b"))
+        earlier = Window.partitionBy(*keys, "_lo", "_hi").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # twice SPANS rows at most
         parts = parts.withColumn("_start", F.col("_before") + F.coalesce(F.sum("_c").over(earlier), F.lit(0)))
         parts = parts.select(*names, F.col("_lo").alias("_plo"), F.col("_hi").alias("_phi"), "_a", "_b", "_start", "_c")
         on = _matched(keys) & (F.col("_lo") == F.col("_plo")) & (F.col("_hi") == F.col("_phi")) & (F.col("rank") >= F.col("_start")) & (F.col("rank") < F.col("_start") + F.col("_c"))

@@ -15,7 +15,7 @@ from strandloom.sources import text
 AT = [0.0, 0.025, 0.5, 0.731, 0.975, 1.0]
 
 
-@pytest.mark.parametrize(("spans", "few", "buffer"), [(32, 1, 0), (1024, 256, 100), (1024, 256, 1 << 16)])
+@pytest.mark.parametrize(("spans", "few", "buffer"), [(16, 20, 0), (128, 256, 100), (128, 256, 1 << 16)])
 def test_quantiles_equal_percentile(spark, monkeypatch, spans, few, buffer):
     """A hot key, ties, one value, far outliers and nulls."""
     monkeypatch.setattr(quantiles, "SPANS", spans)

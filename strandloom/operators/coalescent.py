@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..functions import hmm
+from ..functions import hmm, migration
 
 MODELS = 256  # histories that one NumPy step holds
 
@@ -55,3 +55,40 @@ def revisits(histories: DataFrame, key: str, at: float, r: float, points: np.nda
         return {"density": density, "atom": np.repeat(atom[:, None], len(points), axis=1)}
 
     return _by_model(histories, key, {"k": "long", "density": "double", "atom": "double"}, compute)
+
+
+def _populations(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """t, c1, c2, m12 and m21 of a batch, each models x pieces."""
+    return [column.flatten().to_numpy().reshape(batch.num_rows, -1) for column in batch.columns[1:6]]
+
+
+def pair_rates(models: DataFrame, key: str, points: np.ndarray, start: tuple[float, float, float] = (0, 0, 1)) -> DataFrame:
+    """(key, j, rate, alive): for two lineages of two populations, by default one of each, at each of some points.
+
+    models is (key, t, c1, c2, m12, m21), arrays of one length: the rates of
+    coalescence and of migration in pieces that begin at t. rate is that of
+    lineages which have not coalesced by then, and alive the chance of that.
+    """
+    kind, first = models.schema[key].dataType.simpleString(), np.array(start, float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, MODELS):
+                batch = whole.slice(at, MODELS)
+                found = migration.pair_rate(*_populations(batch), first, points)
+                index = np.indices(found["rate"].shape)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index[0].ravel())), pa.array(index[1].ravel()), *(pa.array(found[x].ravel()) for x in ("rate", "alive"))], [key, "j", "rate", "alive"])
+
+    return models.select(key, "t", "c1", "c2", "m12", "m21").mapInArrow(run, f"{key} {kind}, j long, rate double, alive double")
+
+
+def pair_mean_times(models: DataFrame, key: str, start: tuple[float, float, float] = (0, 0, 1)) -> DataFrame:
+    """(key, mean): the mean time at which two lineages coalesce, of models as pair_rates() has them."""
+    kind, first = models.schema[key].dataType.simpleString(), np.array(start, float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(migration.mean_time(*_populations(batch), first))], [key, "mean"])
+
+    return models.select(key, "t", "c1", "c2", "m12", "m21").mapInArrow(run, f"{key} {kind}, mean double")

@@ -185,6 +185,36 @@ def m7(spark, d):
     return rounded(likelihoods(packed_users(spark, d), (*hmm.default_history(), one, one), "user_id"), "ll")
 
 
+EXCHANGE = 0.3  # migration to and from either population
+TIMES = [0.002 * 7000 ** (k / 19) for k in range(20)]
+#: Populations of one size with equal migration: lineages are together or apart, two states whose exponential is closed.
+TOGETHER = f"""{A.ETA}, legs AS (SELECT vec_id, k.range AS j, i, c, {{span}} AS d FROM eta, {{points}} k),
+ e AS (SELECT vec_id, j, i, c, exp((s + g) * d) AS hi, exp((s - g) * d) AS lo, g FROM (SELECT *, -(4 * {EXCHANGE!r} + c) / 2 AS s, sqrt(c * c / 4 + 4 * {EXCHANGE!r} * {EXCHANGE!r}) AS g FROM legs) z),
+ w AS MATERIALIZED (SELECT vec_id, j, i, c, (hi + lo) / 2 - (hi - lo) / (2 * g) * c / 2 AS tt, (hi - lo) / (2 * g) * 2 * {EXCHANGE!r} AS ta, (hi + lo) / 2 + (hi - lo) / (2 * g) * c / 2 AS aa FROM e),
+ f AS (SELECT DISTINCT vec_id, j, CAST(0 AS BIGINT) AS i, 0e0 AS p, 1e0 AS a FROM legs UNION ALL SELECT f.vec_id, f.j, f.i + 1, p * tt + a * ta, p * ta + a * aa FROM f JOIN w ON w.vec_id = f.vec_id AND w.j = f.j AND w.i = f.i)"""
+
+
+def exchanging(spark, d):
+    """Two populations with the sizes of each history, and lineages that migrate."""
+    move = F.transform("c", lambda x: F.lit(EXCHANGE))
+    return A.histories(spark, d).select("vec_id", "t", F.col("c").alias("c1"), F.col("c").alias("c2"), move.alias("m12"), move.alias("m21"))
+
+
+@query("s20_two_populations", f"""WITH RECURSIVE {TOGETHER.format(span="greatest(least(coalesce(t + dt, 1e9), 0.002e0 * pow(7000e0, k.range / 19e0)) - t, 0e0)", points="range(20)")}
+ SELECT f.vec_id, f.j, round(eta.c * p / (p + a), 6) AS rate, round(p + a, 6) AS alive FROM f JOIN eta ON eta.vec_id = f.vec_id AND f.i = {A.EPOCHS} AND t <= 0.002e0 * pow(7000e0, j / 19e0) AND (dt IS NULL OR 0.002e0 * pow(7000e0, j / 19e0) < t + dt)""")
+def s20_two(spark, d):
+    """The rate at which lineages of two populations coalesce, along a geometric grid."""
+    return rounded(coalescent.pair_rates(exchanging(spark, d), "vec_id", np.array(TIMES)), "rate", "alive")
+
+
+@query("s21_two_populations", f"""WITH RECURSIVE {TOGETHER.format(span="coalesce(dt, 0e0)", points="range(1)")}, n AS (SELECT f.vec_id, f.i, eta.c, f.p, f.a, eta.dt, lead(f.p) OVER o AS p1, lead(f.a) OVER o AS a1 FROM f JOIN eta ON eta.vec_id = f.vec_id AND eta.i = f.i WINDOW o AS (PARTITION BY f.vec_id ORDER BY f.i))
+ SELECT vec_id, round(sum((p - CASE WHEN dt IS NULL THEN 0e0 ELSE p1 END) * 2 / c + (a - CASE WHEN dt IS NULL THEN 0e0 ELSE a1 END) * (2 / c + 1 / (2 * {EXCHANGE!r}))) / 2, 6) AS n0 FROM n GROUP BY 1""")
+def s21_two(spark, d):
+    """Half of the mean time at which lineages of two populations coalesce."""
+    found = coalescent.pair_mean_times(exchanging(spark, d), "vec_id")
+    return found.select("vec_id", F.round(F.col("mean") / 2, 6).alias("n0"))
+
+
 SCAN_BLOCK = 16
 
 

@@ -32,6 +32,22 @@ def scratch_root(spark: SparkSession) -> str:
     return _local_scratch[app]
 
 
+_folders: dict[str, str] = {}
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """The application's own folder beneath scratch_root(); it is deleted when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        folder = f"{scratch_root(spark)}/strandloom-{app}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+        _folders[app] = folder
+    return _folders[app]
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again.
 
@@ -39,7 +55,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     came before, and lets several branches read one result.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/strandloom/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

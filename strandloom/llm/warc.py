@@ -16,7 +16,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, scratch_root, small_arrow_batches
+from .common import materialize, partitions, scratch_folder, small_arrow_batches
 
 PIECE, HEAD = 1 << 20, 1 << 20  # bytes inflated at once; bytes that a record's or a response's header may have
 GZIP, FOLLOWED = 31, b"\r\n\r\n"
@@ -362,7 +362,7 @@ def archived(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pa
     largest id and its payload are all responses. Other columns are not looked
     at. An empty table makes no archives and gives an empty result.
     """
-    folder = f"{scratch_root(pages.sparkSession)}/strandloom/warc-{uuid.uuid4().hex}"
+    folder = f"{scratch_folder(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     archives = write_archives(pages, folder, id_col, url_col, payload_col, least)
     kind = pages.schema[id_col].dataType
     page = lambda name: F.url_decode(F.nullif(F.regexp_extract(name, r"^urn:page:([^:]*):", 1), F.lit(""))).cast(kind)

@@ -7,20 +7,28 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local: dict[str, str] = {}
+_folders: dict[str, str] = {}
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path beneath the one that spark.checkpoint.dir names; a temporary one where that is unset and the master local."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        master, app = spark.sparkContext.master, spark.sparkContext.applicationId
-        if not master.startswith("local") or master.startswith("local-cluster"):
+def _own_folder(spark: SparkSession) -> str:
+    """The application's folder beneath the one that spark.checkpoint.dir names, gone with it; a temporary one where that is unset and the master local."""
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if app not in _folders:
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and (not master.startswith("local") or master.startswith("local-cluster")):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        if app not in _local:
-            _local[app] = tempfile.mkdtemp(prefix="spark-")
-        root = _local[app]
-    return f"{root.rstrip('/')}/strandloom-files/{name}-{uuid.uuid4().hex}"
+        folder = f"{(root or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/strandloom-files-{app}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)  # when the driver ends
+        _folders[app] = folder
+    return _folders[app]
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path that driver and executors share."""
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:

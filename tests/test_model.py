@@ -126,4 +126,4 @@ def test_fit_with_spectrum_and_minibatch(spark):
     chunks = spark.createDataFrame(rows, "chunk_id long, obs array<byte>")
     x = fit.fit(chunks, 0.2, 5, particles=4, iterations=2, afs=[30.0, 12, 9, 4, 2], minibatch=3)
     assert x.shape == (4, 18) and np.isfinite(x).all()
-    assert fit.drawn(chunks, np.array([2, 2, 5])).count() == 3
+    assert fit.store_chunks(chunks).drawn(np.array([2, 2, 5])).count() == 3

@@ -152,3 +152,15 @@ def test_a_lost_particle_does_not_stop_the_fit(spark, monkeypatch):
     monkeypatch.setattr(fit, "total_slopes", lambda *args: tuple(np.full_like(x, np.nan) for x in whole(*args)))
     with pytest.raises(ArithmeticError, match="no finite slope"):
         fit.fit(chunks, 0.2, particles=4, iterations=2)
+
+
+def test_weights_of_the_density(spark, monkeypatch):
+    """Each term's slope counts as often as its weight says."""
+    rows = [(i, [0, 1, 0, 0, 1, 0]) for i in range(4)]
+    chunks, seen = spark.createDataFrame(rows, "chunk_id long, obs array<byte>"), []
+    step = fit.stein_step
+    monkeypatch.setattr(fit, "stein_step", lambda x, slope: seen.append(slope) or step(x, slope))
+    for weights in ((1, 0, 0), (0, 1, 0), (0, 0, 1), (2, 3, 0.5)):
+        fit.fit(chunks, 0.2, particles=3, iterations=1, alpha=0.1, afs=[5.0, 3.0, 2.0, 1.0], weights=weights)
+    prior, data, spectrum, mixed = seen
+    assert mixed == pytest.approx(2 * prior + 3 * data + 0.5 * spectrum) and all(abs(x).max() > 0 for x in seen)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
 from pathlib import Path
 
+import duckdb
+
 import __spark_entry__ as entry
 from strandloom.operators import het
+from strandloom.sources import adapters as A
 
 
 def test_dense_keeps_windows_past_the_grid(spark):
@@ -21,3 +25,23 @@ def test_subtract_reaches_the_last_mask(spark, tmp_path: Path):
     got = sorted(map(tuple, entry.queries()["o5_interval_subtract"](spark, str(tmp_path)).collect()))
     edges = [0, *(x for k in keys for x in (k * 500, k * 500 + 8))]
     assert got == list(zip(edges[::2], edges[1::2], strict=False))
+
+
+def test_events_of_any_days_count(spark, tmp_path: Path):
+    """The windows go from the first event's day to the last event, in the relation and in its SQL."""
+    start = datetime(2031, 5, 3, 7, 30)
+    rows = [(i, start + timedelta(hours=h), u, kind) for i, (h, u, kind) in enumerate([(0, 1, "view"), (31 * 24, 1, "error"), (31 * 24 + 1, 1, "view"), (77 * 24 + 15, 2, "click"), (77 * 24 + 15.4, 2, "error")])]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in A.observations(spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(f"WITH {A.OBS} SELECT * FROM obs").fetchall())
+    windows = 77 * 4 + 4  # of six hours from midnight on; the last event is at 22:54
+    assert A.window_count(spark, str(tmp_path)) == windows and len(got) == 2 * windows
+    assert {(u, w): ob for u, w, ob in got if ob >= 0} == {(1, 1): 0, (1, 31 * 4 + 1): 1, (2, windows - 1): 1}
+    queries, sql = entry.queries(), entry.oracle_sql()
+    for name in ("w1_chunks", "b2_strided_slices"):
+        found = queries[name](spark, str(tmp_path))
+        cur = con.execute(sql[name])
+        order = [found.columns.index(c[0]) for c in cur.description]
+        assert sorted(tuple(r[i] for i in order) for r in found.collect()) == sorted(cur.fetchall())

@@ -45,3 +45,14 @@ def test_events_of_any_days_count(spark, tmp_path: Path):
         cur = con.execute(sql[name])
         order = [found.columns.index(c[0]) for c in cur.description]
         assert sorted(tuple(r[i] for i in order) for r in found.collect()) == sorted(cur.fetchall())
+
+
+def test_samples_of_any_order_are_not_missing(spark, tmp_path: Path):
+    """Every order counts, not those of some keys alone, in the relation and in its SQL."""
+    spark.createDataFrame([(i,) for i in range(1, 7)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(16, 1), (17, 2), (23, 3), (33, 3), (48, 5)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    for t in ("customer", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in entry.queries()["j11_missing_samples"](spark, str(tmp_path)).collect())
+    assert got == [(4,), (6,)] == sorted(con.execute(entry.oracle_sql()["j11_missing_samples"]).fetchall())

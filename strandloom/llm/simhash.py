@@ -62,10 +62,9 @@ def fingerprint(text: bytes | None, words: int = 4, seed: int = 42) -> int:
     return int.from_bytes(majority(shingle_digests(text, words, lambda x: xxhash.xxh64_digest(x, seed)), 8), "big")
 
 
-def wide_fingerprint(text: bytes | None, words: int, seed: int = 42) -> bytes:
-    """Majority of the bits of the distinct shingles' 128-bit XXH3; zeros for a text without words."""
-    chunks = list(shingle_digests(text, words, lambda x: xxhash.xxh3_128_digest(x, seed)))
-    return majority([set().union(*chunks)], 16)
+def wide_digests(text: bytes | None, words: int, seed: int = 42) -> set[bytes]:
+    """The distinct shingles' 128-bit XXH3; their bits' majority is the wide fingerprint."""
+    return set().union(*shingle_digests(text, words, lambda x: xxhash.xxh3_128_digest(x, seed)))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42) -> DataFrame:

@@ -68,6 +68,35 @@ def test_odd_rows(spark, odd, empty):
     assert sorted(kept, key=str) == sorted(([(5, text), (5, text + "!"), (5, "another text of its own"), (None, text), (None, text)]), key=str)
 
 
+def altered(words, mark, at, n):
+    """The words with n of them replaced by others, which breaks n + 4 shingles."""
+    return words[:at] + [f"{mark}x{i}" for i in range(n)] + words[at + n :]
+
+
+def test_no_pair_at_the_threshold_is_left(spark):
+    """Some fingerprints of pairs just over 0.8 meet in no table."""
+    rng, rows = random.Random(1), []
+    for k in range(200):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(300)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(altered(words, f"v{k}", rng.randrange(40, 200), 28)))]
+    assert len(brute(rows)) == 200
+    got = [r.doc_id for r in near_copies.one_per_class(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == list(range(0, 400, 2))
+
+
+def test_links_beside_a_forest(spark):
+    """In large groups a link that fails must not hide others that hold."""
+    rng, rows = random.Random(2), []
+    for base in range(4):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(300)]
+        rows += [(1000 * base + i, " ".join(altered(words, f"v{base}x{i}", rng.randrange(270), rng.randint(14, 34)))) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = least_of_classes([r[0] for r in rows], brute(rows))
+    for block in (8, 1024):
+        got = [r.doc_id for r in near_copies.one_per_class(df, block=block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_tables_cover():
     masks, rng = near_copies.table_masks(4), random.Random(6)
     assert len(masks) == 124

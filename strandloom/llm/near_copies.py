@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, few, materialize, small_arrow_batches
+from .common import components, discard, few, materialize, shuffles_dropped, small_arrow_batches
 from .simhash import covering_masks, majority, shingle_digests, wide_digests
 
 PARTS, PART_BITS = 4, 32  # of a fingerprint of 128 bits
@@ -18,7 +18,7 @@ SMALL = 16  # groups up to this size are compared by shifts, for many groups at
 NODE = ["none", "doc_id", "h", "s"]
 BATCH = 32_768  # rows that a task compares at once; a group is never cut
 PAIRS = 1 << 17  # pairs that a task holds before it hands them on, or those of one strip
-SKETCH = 1024  # bits of a set's sketch
+SKETCH = 1024  # bits of a set's sketch; a wide one has two for each shingle or more
 SHARE, COMMON = 64, 1 << 16  # a SHARE-th of the texts tells which COMMON shingles at most are ordered last
 
 
@@ -47,13 +47,14 @@ def common_shingles(docs: DataFrame, text_col: str, words: int, seed: int) -> tu
 
 
 def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, seed: int, percent: int) -> DataFrame:
-    """(doc_id, h, f1, f2, s, size, prefix, sketch) of each row.
+    """(doc_id, h, f1, f2, s, size, prefix, sketch, wide) of each row.
 
     h is a hash of the text, f1 and f2 are the halves of its fingerprint, s is
     a hash of its set of shingles, which has size ones. prefix holds the first
     shingles of the set, the rare ones first, as many as a text needs to share
     one with any text that is similar to percent / 100 or more. sketch tells of
-    each of SKETCH classes of shingles whether the set has an odd number.
+    each of SKETCH classes of shingles whether the set has an odd number; wide,
+    null where sketch is as good, tells it of more classes, a power of two.
     """
     common, rank = common_shingles(docs, text_col, words, seed)
 
@@ -65,9 +66,13 @@ def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, s
         n = len(digests)
         return digests[np.lexsort((digests, late))][: n + (-percent * n // 100) + 1 if n else 0]
 
+    def parities(own: np.ndarray, bits: int) -> bytes:
+        # bit i in place i, the lowest first, so that halves of a sketch fold into a narrower one
+        return np.packbits((np.bincount(own & bits - 1, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, sets, sizes, heads, odd = [], [], [], [], []
+            prints, sets, sizes, heads, odd, wide = [], [], [], [], [], []
             for x in batch.column(2).cast(pa.binary()):
                 digests = wide_digests(x.as_py(), words, seed)
                 own = np.unique(np.frombuffer(b"".join(digests), "<i8")[::2])
@@ -75,16 +80,18 @@ def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, s
                 sets.append(xxhash.xxh64_intdigest(own.tobytes(), seed))
                 sizes.append(len(own))
                 heads.append(first(own))
-                odd.append(np.packbits((np.bincount(own & SKETCH - 1, minlength=SKETCH) & 1).astype(np.uint8)).tobytes())
+                odd.append(parities(own, SKETCH))
+                bits = 1 << (2 * len(own) - 1).bit_length() if len(own) else SKETCH
+                wide.append(parities(own, bits) if bits > SKETCH else None)
             halves = np.frombuffer(b"".join(prints), ">i8").astype(np.int64).reshape(-1, 2)
             ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
             flat = pa.array(np.concatenate([np.zeros(0, np.int64), *heads]))
-            made = [pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(ends, flat), pa.array(odd, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["doc_id", "h", "f1", "f2", "s", "size", "prefix", "sketch"])
+            made = [pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(ends, flat), pa.array(odd, pa.binary()), pa.array(wide, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["doc_id", "h", "f1", "f2", "s", "size", "prefix", "sketch", "wide"])
 
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), text.alias("text"))
-    return rows.mapInArrow(compute, "doc_id long, h long, f1 long, f2 long, s long, size int, prefix array<long>, sketch binary")
+    return rows.mapInArrow(compute, "doc_id long, h long, f1 long, f2 long, s long, size int, prefix array<long>, sketch binary, wide binary")
 
 
 def table_masks(radius: int) -> list[tuple[int, int]]:
@@ -98,13 +105,13 @@ def table_masks(radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def _dealt(members: DataFrame, block: int, by: list[str]) -> DataFrame:
-    """members with (cut, side), sorted by key and cut.
+def _dealt(members: DataFrame, keys: DataFrame, block: int, by: list[str]) -> DataFrame:
+    """members with (cut, side), sorted by key and cut. keys has the key of each member.
 
     A group of more than block rows of a key is dealt into pairs of blocks; all
     of its rows meet, two from one block in the pair of that block with itself.
     """
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     hot = materialize(sizes.filter(F.col("n") > block).select(F.col("key").alias("_hot"), F.ceil(F.col("n") / block).cast("long").alias("_blocks")), "hot-groups")
     dealt = members.join(few(hot), F.col("key") == F.col("_hot"), "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1).cast("long")))
     dealt = dealt.withColumn("side", F.pmod(F.xxhash64(*by), F.col("_blocks")).cast("int"))
@@ -122,7 +129,7 @@ def groups(known: DataFrame, radius: int, block: int) -> DataFrame:
     # a part fills one half of its word; the table's number takes the other
     odd = F.floor(F.col("m.t") / (2 ** (radius + 1) - 1)) % 2 == 1
     members = each.select("f1", "f2", F.when(odd, F.shiftrightunsigned(under, PART_BITS)).otherwise(under).bitwiseOR(F.shiftleft(F.col("m.t"), PART_BITS)).alias("key"))
-    return _dealt(members, block, ["f1", "f2"])
+    return _dealt(members, members, block, ["f1", "f2"])
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -280,25 +287,41 @@ def prefix_pairs(percent: int):
     return compare
 
 
+def differing(one: bytes, two: bytes) -> int:
+    """Bits in which two sketches differ, the wider one folded to the width of the other."""
+    a, b = sorted((np.frombuffer(x, np.uint64) for x in (one, two)), key=len)
+    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum(dtype=np.int64))
+
+
 def unruled(links: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The links (a, b, w), a and b being s of nodes, that sketches do not rule out; none that is similar to percent / 100 or more goes.
 
     A differing bit of two sketches needs a shingle that only one set has, so
     sets that differ in more bits than similar ones of their sizes can differ in
-    shingles are not similar.
+    shingles are not similar. Sketches of SKETCH bits come first; what they leave
+    of large sets, of which they tell little, is held against the wide ones.
     """
-    one, two = (nodes.select(F.col("node.s").alias(f"_n{i}"), F.col("size").alias(f"_z{i}"), F.col("sketch").alias(f"_k{i}")) for i in (1, 2))
-    met = links.join(one, F.col("a") == F.col("_n1")).join(two, F.col("b") == F.col("_n2")).select("a", "b", "w", "_z1", "_z2", "_k1", "_k2")
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = batch.column("_z1").to_numpy().astype(np.int64) + batch.column("_z2").to_numpy()
-            k1, k2 = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, SKETCH // 64) for k in ("_k1", "_k2"))
-            differ = np.bitwise_count(k1 ^ k2).sum(axis=1, dtype=np.int64)
-            least = -(-percent * both // (100 + percent))  # shingles that similar sets share
-            yield batch.filter(pa.array(differ <= both - 2 * least)).select(["a", "b", "w"])
+    def narrow(k1: list[bytes], k2: list[bytes]) -> np.ndarray:
+        one, two = (np.frombuffer(b"".join(k), np.uint64).reshape(-1, SKETCH // 64) for k in (k1, k2))
+        return np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64)
+
+    def wide(k1: list[bytes], k2: list[bytes]) -> np.ndarray:
+        return np.array([differing(x, y) for x, y in zip(k1, k2, strict=True)], np.int64)
+
+    def left(links: DataFrame, sketch: str, count: Callable[[list[bytes], list[bytes]], np.ndarray]) -> DataFrame:
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                both = batch.column("_z1").to_numpy().astype(np.int64) + batch.column("_z2").to_numpy()
+                least = -(-percent * both // (100 + percent))  # shingles that similar sets share
+                differ = count(batch.column("_k1").to_pylist(), batch.column("_k2").to_pylist())
+                yield batch.filter(pa.array(differ <= both - 2 * least)).select(["a", "b", "w"])
 
-    return met.mapInArrow(keep, "a long, b long, w int")
+        one, two = (nodes.select(F.col("node.s").alias(f"_n{i}"), F.col("size").alias(f"_z{i}"), F.expr(sketch).alias(f"_k{i}")) for i in (1, 2))
+        met = links.join(one, F.col("a") == F.col("_n1")).join(two, F.col("b") == F.col("_n2")).select("a", "b", "w", "_z1", "_z2", "_k1", "_k2")
+        return met.mapInArrow(keep, "a long, b long, w int")
+
+    return left(materialize(left(links, "sketch", narrow), "unruled"), "coalesce(wide, sketch)", wide)
 
 
 def named_links(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -311,7 +334,7 @@ def named_links(links: DataFrame, nodes: DataFrame) -> DataFrame:
 def similar(links: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """The links (a, b) between texts whose sets of shingles have a Jaccard similarity of percent / 100 or more.
 
-    a and b are nodes of classes(); shingles are made of the linked texts alone.
+    a and b are nodes of classes(); shingles are made of the linked texts alone. A stored table.
     """
     known = links.select(F.explode(F.array("a", "b")).alias("n")).distinct().select(F.col("n.doc_id").alias("_id"), F.col("n.h").alias("_h"), F.col("n").alias("_node"))
     known = materialize(known, "linked")
@@ -331,7 +354,9 @@ def similar(links: DataFrame, docs: DataFrame, id_col: str, text_col: str, words
     one, two = (sets.select(F.col("node").alias(f"_n{i}"), F.col("set").alias(f"_s{i}")) for i in (1, 2))
     pairs = links.join(one, F.col("a") == F.col("_n1")).join(two, F.col("b") == F.col("_n2"))
     shared = F.size(F.array_intersect("_s1", "_s2"))
-    return pairs.filter(100 * shared >= percent * (F.size("_s1") + F.size("_s2") - shared)).select("a", "b")
+    found = materialize(pairs.filter(100 * shared >= percent * (F.size("_s1") + F.size("_s2") - shared)).select("a", "b"), "verified")
+    discard(known, sets)
+    return found
 
 
 def _apart(links: DataFrame, roots: DataFrame) -> DataFrame:
@@ -346,23 +371,31 @@ def rest_pairs(nodes: DataFrame, roots: DataFrame, percent: int, block: int) ->
     """(a, b, w), of s, w a bound for shared shingles: the pairs of nodes in different classes that prefix_pairs() finds, once each."""
     own = roots.select(F.col("node").alias("_n"), F.col("root.s").alias("_r"))
     each = nodes.select("node", "size", "prefix").join(own, F.col("node") == F.col("_n"), "left").select("node.s", F.coalesce("_r", "node.s").alias("root"), "size", F.posexplode("prefix").alias("place", "key"))
-    found = _dealt(each.select("key", "s", "root", "size", "place"), block, ["s"]).mapInArrow(prefix_pairs(percent), "a long, b long, most int")
+    found = _dealt(each.select("key", "s", "root", "size", "place"), nodes.select(F.explode("prefix").alias("key")), block, ["s"]).mapInArrow(prefix_pairs(percent), "a long, b long, most int")
     return materialize(found.groupBy("a", "b").agg(F.max("most").alias("w")), "rest-pairs")
 
 
-def classes(docs: DataFrame, prints: DataFrame, id_col: str, text_col: str, words: int, percent: int, radius: int, most: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """(node, n) of each distinct set of shingles, and (node, root) of those linked to others.
+def distinct_sets(prints: DataFrame) -> DataFrame:
+    """(node, f1, f2, n, size, prefix, sketch, wide) of each distinct set of shingles, n rows having it. A stored table.
 
     A node is the struct NODE of a set's first row, none for one without an id,
-    so that such rows come last. Links that sketches do not rule out are verified
+    so that such rows come last.
+    """
+    of_set = ("f1", "f2", "size", "prefix", "sketch", "wide")
+    nodes = prints.groupBy("s").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first"), F.count(F.lit(1)).alias("n"), *[F.first(x).alias(x) for x in of_set])
+    return materialize(nodes.select(F.struct("first.none", "first.doc_id", "first.h", "s").alias("node"), "n", *of_set), "nodes")
+
+
+def classes(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int, percent: int, radius: int, most: int, block: int) -> DataFrame:
+    """(node, root) of those nodes of distinct_sets() that are linked to others.
+
+    Links that sketches do not rule out are verified
     by the fingerprints' distance, the closest first, in two rounds; in the
     second only those that still join two classes are. What they leave, for fingerprints meet with a probability and
     large groups hand on forests, is found exactly by prefixes: first one pair
     of two classes, then all that are not yet verified. So each pair of similar
     texts ends in one class.
     """
-    nodes = prints.groupBy("s").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first"), F.first("f1").alias("f1"), F.first("f2").alias("f2"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
-    nodes = materialize(nodes.select(F.struct("first.none", "first.doc_id", "first.h", "s").alias("node"), "f1", "f2", "n", "size", "prefix", "sketch"), "nodes")
     known = materialize(nodes.groupBy("f1", "f2").agg(F.min("node").alias("least")), "distinct-fingerprints")
     found = materialize(groups(known, radius, block).mapInArrow(near_links(radius, most), "a1 long, a2 long, b1 long, b2 long, d int"), "near-links")
     one, two = (known.select(F.col("f1").alias(f"_{i}1"), F.col("f2").alias(f"_{i}2"), F.col("least").alias(f"_{i}")) for i in "ab")
@@ -371,12 +404,13 @@ def classes(docs: DataFrame, prints: DataFrame, id_col: str, text_col: str, word
     named = named.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "d").union(same.select(F.col("_a").alias("a"), F.col("node").alias("b"), F.lit(0).alias("d")))
     named = named.select("a.s", F.col("b.s").alias("b"), F.col("d").alias("w")).withColumnRenamed("s", "a").distinct()
     named = materialize(named_links(unruled(named, nodes, percent), nodes), "named-links")
+    discard(known, found)
     sure = tried = roots = None
 
     def verify(links: DataFrame) -> None:
         nonlocal sure, tried, roots
         open_ = materialize(links.select("a", "b"), "open-links")
-        met = materialize(similar(open_, docs, id_col, text_col, words, percent), "verified")
+        met = similar(open_, docs, id_col, text_col, words, percent)
         sure, tried = (met, open_) if sure is None else (sure.union(met), tried.union(open_))
         roots = materialize(components(sure), "roots")
 
@@ -386,12 +420,14 @@ def classes(docs: DataFrame, prints: DataFrame, id_col: str, text_col: str, word
 
     verify(named.filter(F.col("w") <= most // 2))
     verify(_apart(named.filter(F.col("w") > most // 2), roots))
-    rest = materialize(unruled(rest_pairs(nodes, roots, percent, block), nodes, percent), "unruled")
+    pairs = rest_pairs(nodes, roots, percent, block)
+    rest = materialize(unruled(pairs, nodes, percent), "unruled")
+    discard(pairs)
     rest = materialize(untried(named_links(rest, nodes)), "rest")
     best = _apart(rest, roots).groupBy(F.least("_a", "_b").alias("_1"), F.greatest("_a", "_b").alias("_2")).agg(F.max(F.struct("w", "a", "b")).alias("x"))
     verify(best.select("x.a", "x.b"))
     verify(_apart(untried(rest), roots))
-    return nodes, roots
+    return roots
 
 
 def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, radius: int = 4, most: int = 30, block: int = 1024, seed: int = 42) -> DataFrame:
@@ -413,16 +449,20 @@ def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     share an id but not a text are told apart. Other columns are not looked at.
     An empty table gives an empty result.
     """
-    prints = materialize(wide_fingerprints(docs, id_col, text_col, words, seed, percent), "wide-fingerprints")
-    nodes, roots = classes(docs, prints, id_col, text_col, words, percent, radius, most, block)
-    root = F.coalesce("_r", "node")
-    named = nodes.join(roots.select(F.col("node").alias("_n"), F.col("root").alias("_r")), F.col("node") == F.col("_n"), "left")
-    # a lone set's one row stays; others are looked up, the hot ones in parts
-    shared = named.filter((F.col("n") > 1) | (root != F.col("node"))).select(F.col("node.s").alias("_set"), root.alias("_root"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("_s"))
-    salted = prints.select("doc_id", "h", "s").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "h"), F.lit(16)).cast("int"))
-    own = salted.join(shared, (F.col("s") == F.col("_set")) & (F.col("_salt") == F.col("_s"))).filter("doc_id is not null")
-    stays = (F.col("doc_id") == F.col("_root.doc_id")) & (F.col("h") == F.col("_root.h"))
-    rows = materialize(own.groupBy("doc_id", "h").agg(F.bool_or(stays).alias("stays"), F.count(F.lit(1)).alias("n")), "members")
+    with shuffles_dropped(docs.sparkSession):
+        prints = materialize(wide_fingerprints(docs, id_col, text_col, words, seed, percent), "wide-fingerprints")
+        nodes, sets = distinct_sets(prints), materialize(prints.select("doc_id", "h", "s"), "sets-of-rows")
+        discard(prints)
+        roots = classes(docs, nodes, id_col, text_col, words, percent, radius, most, block)
+        root = F.coalesce("_r", "node")
+        named = nodes.join(roots.select(F.col("node").alias("_n"), F.col("root").alias("_r")), F.col("node") == F.col("_n"), "left")
+        # a lone set's one row stays; others are looked up, the hot ones in parts
+        shared = named.filter((F.col("n") > 1) | (root != F.col("node"))).select(F.col("node.s").alias("_set"), root.alias("_root"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("_s"))
+        salted = sets.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "h"), F.lit(16)).cast("int"))
+        own = salted.join(shared, (F.col("s") == F.col("_set")) & (F.col("_salt") == F.col("_s"))).filter("doc_id is not null")
+        stays = (F.col("doc_id") == F.col("_root.doc_id")) & (F.col("h") == F.col("_root.h"))
+        rows = materialize(own.groupBy("doc_id", "h").agg(F.bool_or(stays).alias("stays"), F.count(F.lit(1)).alias("n")), "members")
+        discard(nodes, sets)
     h = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
     def named_in(these: DataFrame, how: str) -> DataFrame:

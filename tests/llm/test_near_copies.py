@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import random
 from collections import defaultdict
+from pathlib import Path
+
+import numpy as np
 
 import corpus_pipeline
-from strandloom.llm import near_copies
+from strandloom.llm import common, near_copies
 
 SF = "/root/testdata/sf0.01"
 
@@ -97,6 +100,45 @@ def test_links_beside_a_forest(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_long_texts_are_ruled_out_by_sketches(spark, monkeypatch):
+    """Long texts that share half of their shingles meet by their prefixes, and are not opened again."""
+    rng, opened, materialize = random.Random(3), [], near_copies.materialize
+    words = [f"w{rng.randrange(10**9)}" for _ in range(6000)]
+    texts = [altered(words, f"v{k}", 100 + 150 * k, 1800) for k in range(6)]
+    rows = [(k, " ".join(text)) for k, text in enumerate([*texts, altered(texts[0], "x", 5000, 10)])]
+    assert brute(rows) == {(0, 6)}
+
+    def counted(df, name):
+        out = materialize(df, name)
+        if name == "open-links":
+            opened.extend(out.collect())
+        return out
+
+    monkeypatch.setattr(near_copies, "materialize", counted)
+    got = [r.doc_id for r in near_copies.one_per_class(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == list(range(6))
+    assert [sorted((r.a.doc_id, r.b.doc_id)) for r in opened] == [[0, 6]]
+
+
+def test_sketches_fold():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        own = [np.unique(rng.integers(-(2**63), 2**63, 3000)) for _ in range(2)]
+        odd = [[np.packbits(np.bincount(x & bits - 1, minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes() for bits in (1024, 8192)] for x in own]
+        assert near_copies.differing(odd[0][0], odd[1][1]) == near_copies.differing(odd[0][0], odd[1][0]) == near_copies.differing(odd[0][1], odd[1][0])
+        assert near_copies.differing(odd[0][1], odd[0][0]) == 0
+
+
+def test_what_was_read_is_deleted(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    rows = [(k, f"a text of some nine or ten words, number {k // 2}") for k in range(40)]
+    assert near_copies.one_per_class(spark.createDataFrame(rows, "doc_id long, text string")).count() == 20
+    assert spark.conf.get(key, None) == before
+    left = [p.name for p in Path(common.scratch_folder(spark).removeprefix("file://")).iterdir()]
+    assert not [x for x in left if x.startswith(("wide-fingerprints", "shingle-sets", "near-links", "rest-pairs"))]
+
+
 def test_tables_cover():
     masks, rng = near_copies.table_masks(4), random.Random(6)
     assert len(masks) == 124

@@ -56,3 +56,19 @@ def test_samples_of_any_order_are_not_missing(spark, tmp_path: Path):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     got = sorted(tuple(r) for r in entry.queries()["j11_missing_samples"](spark, str(tmp_path)).collect())
     assert got == [(4,), (6,)] == sorted(con.execute(entry.oracle_sql()["j11_missing_samples"]).fetchall())
+
+
+def test_windows_of_users_are_not_broadcast(spark, tmp_path: Path):
+    """Few users have many windows; none of them pass through the driver, and users and kinds that are null are as in SQL."""
+    start = datetime(2031, 5, 3)
+    rows = [(i, start + timedelta(hours=7 * i), i % 40, "error" if i % 5 == 0 else "view") for i in range(400)] + [(400, start, None, "error"), (401, start + timedelta(days=90), 7, None), (402, None, 41, "view")]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("p10_not_missing", "all"):
+        got = A.observations(spark, str(tmp_path)) if name == "all" else entry.queries()[name](spark, str(tmp_path))
+        sql = f"WITH {A.OBS} SELECT user_id, win, ob FROM obs" if name == "all" else entry.oracle_sql()[name]
+        key = lambda r: tuple((x is None, x) for x in r)
+        assert sorted(map(tuple, got.collect()), key=key) == sorted(con.execute(sql).fetchall(), key=key)
+        plan = got._jdf.queryExecution().executedPlan().toString()  # after the run, so as it was run
+        assert "isFinalPlan=true" in plan and "BroadcastHashJoin" not in plan.split("== Initial Plan ==")[0]

@@ -164,3 +164,52 @@ def test_weights_of_the_density(spark, monkeypatch):
         fit.fit(chunks, 0.2, particles=3, iterations=1, alpha=0.1, afs=[5.0, 3.0, 2.0, 1.0], weights=weights)
     prior, data, spectrum, mixed = seen
     assert mixed == pytest.approx(2 * prior + 3 * data + 0.5 * spectrum) and all(abs(x).max() > 0 for x in seen)
+
+
+@pytest.mark.parametrize("width", [1, 9, 25])
+def test_shared_beginnings_are_the_runs(width):
+    """Values and every slope of the tables, of sequences that count several times."""
+    rng, x = np.random.default_rng(width), particles(3, width)
+    obs, counts = rng.choice([-1, 0, 0, 1, 2], size=(300, width)), rng.integers(1, 9, size=300).astype(float)
+    tables, tree = hmm.tables_of(*hmm.to_models(x, 0.2)), hmm.Beginnings(obs, counts)
+    assert tree.nodes <= sum(min(300, 3 ** (i + 1)) for i in range(width)) and [often.sum() for _, _, often in tree.levels] == [counts.sum()] * width
+    want = hmm.run_slopes(tables, np.repeat(obs, counts.astype(int), axis=0))
+    for got in (hmm.beginning_slopes(tables, tree), hmm.run_slopes(tables, obs, counts)):
+        assert got[0] == pytest.approx(want[0], rel=1e-10)
+        assert got[1] == pytest.approx(want[1], rel=1e-8, abs=1e-9 * abs(want[1]).max())
+    repeated = hmm.run_likelihood(tables, np.repeat(obs[:9], 2, axis=0))
+    assert hmm.run_likelihood(tables, obs[:9], np.full(9, 2.0)) == pytest.approx(repeated, rel=1e-10)
+
+
+def test_short_sequences_go_together_and_long_ones_alone():
+    rng = np.random.default_rng(3)
+    assert hmm.shared_beginnings(rng.choice([-1, 0, 1], size=(2000, 25))).nodes < 2000 * 20
+    assert hmm.shared_beginnings(np.zeros((2, 5000), np.int64)) is None and hmm.shared_beginnings(np.zeros((2, 0), np.int64)) is None
+
+
+def test_many_short_chunks_are_not_taken_one_by_one(spark, monkeypatch):
+    """Equal chunks are taken once, and the steps go with beginnings, not with chunks; the sums are those of all chunks."""
+    rng, x = np.random.default_rng(5), particles(3, 1)
+    kinds = rng.choice([-1, 0, 1], size=(600, 25))
+    rows = [(int(i), kinds[i % 600].tolist()) for i in range(3000)]
+    chunks = spark.createDataFrame(rows, "k long, obs array<byte>")
+    dealt = fit.counted(chunks).collect()
+    assert len(dealt) == len(np.unique(kinds, axis=0)) and sum(r.n for r in dealt) == 3000
+    value, slope = hmm.run_slopes(hmm.tables_of(*hmm.to_models(x, 0.2)), kinds)
+    early, of_early = hmm.run_slopes(hmm.tables_of(*hmm.to_models(x, 0.2)), kinds[:, :5])
+    want = 5 * (value - early), 5 * hmm.number_slopes(x, 0.2, slope - of_early)
+    built = []
+
+    class Watched(hmm.Beginnings):
+        def __init__(self, *args):
+            super().__init__(*args)
+            built.append(self.nodes)
+
+    monkeypatch.setattr(hmm, "Beginnings", Watched)
+    monkeypatch.setattr(hmm, "run_slopes", lambda *args: pytest.fail("one by one"))
+    assert hmm.likelihood_slopes(x, 0.2, kinds, 5)[0] == pytest.approx(value - early) and built[0] < 600 * 21
+    monkeypatch.undo()
+    for some in (chunks, fit.counted(chunks)):
+        for got, find in zip(fit.total_slopes(some, x, 0.2, 5), want, strict=True):
+            assert got == pytest.approx(find, rel=1e-7, abs=1e-6)
+        assert fit.total_likelihood(some, x, 0.2, 5) == pytest.approx(want[0])

@@ -13,40 +13,55 @@ SPAN = 1 << 20
 
 
 class Forest:
-    """Parents of nodes, and how many of each set of samples are below each node or at it."""
+    """Parents of nodes, and how many of each set of samples are below each node or at it.
+
+    A node's counts are the fields of one integer, each wide enough for all of
+    its set, so that one addition changes them all.
+    """
 
     def __init__(self, nodes: int, weights: np.ndarray):
-        self.parent = [-1] * nodes
-        self.below = weights.copy()
+        widths = [int(x).bit_length() for x in weights.sum(axis=0)]
+        self.shifts = [sum(widths[:i]) for i in range(len(widths))]
+        self.parent, self.below = [-1] * nodes, [0] * nodes
+        for node, column in zip(*(x.tolist() for x in np.nonzero(weights)), strict=True):
+            self.below[node] += int(weights[node, column]) << self.shifts[column]
 
     def insert(self, parent: int, child: int) -> None:
-        self.parent[child] = parent
-        self._add(parent, self.below[child])
+        self.move([parent], [child], [True])
 
     def remove(self, parent: int, child: int) -> None:
-        if self.parent[child] != parent:
-            raise ValueError("an edge ends that is not there: a child has two parents at one place")
-        self.parent[child] = -1
-        self._add(parent, -self.below[child])
-
-    def _add(self, node: int, change: np.ndarray) -> None:
-        if change.any():
-            while node >= 0:
-                self.below[node] += change
-                node = self.parent[node]
+        self.move([parent], [child], [False])
+
+    def move(self, parents: Sequence[int], children: Sequence[int], coming: Sequence[bool]) -> None:
+        """Edges that come or go, one after another."""
+        below, parent_of = self.below, self.parent
+        for parent, child, comes in zip(parents, children, coming, strict=True):
+            if comes:
+                parent_of[child], change = parent, below[child]
+            elif parent_of[child] != parent:
+                raise ValueError("an edge ends that is not there: a child has two parents at one place")
+            else:
+                parent_of[child], change = -1, -below[child]
+            if change:
+                while parent >= 0:
+                    below[parent] += change
+                    parent = parent_of[parent]
 
-    def alleles(self, mutations: Sequence[tuple[int, str]], ancestral: str) -> dict[str, np.ndarray]:
-        """How many of each set have each state that a site's mutations (node, state) made, the later on a node winning.
+    def alleles(self, mutations: Sequence[tuple[int, str]], ancestral: str) -> dict[str, int]:
+        """How many of each set, in fields, have each state that a site's mutations (node, state) made, the later on a node winning.
 
         A mutation counts for the samples below it but for those below the next
         mutations beneath, whose own it is then to count.
         """
         own = dict(mutations)
-        out: dict[str, np.ndarray] = {}
+        if len(own) == 1:
+            ((node, state),) = own.items()
+            return {} if state == ancestral else {state: self.below[node]}
+        out: dict[str, int] = {}
 
-        def count(state: str, change: np.ndarray) -> None:
+        def count(state: str, change: int) -> None:
             if state != ancestral:
-                out[state] = out[state] + change if state in out else change.copy()
+                out[state] = out.get(state, 0) + change
 
         for node, state in own.items():
             count(state, self.below[node])
@@ -70,32 +85,26 @@ def sweep(edges: pa.Table, mutations: pa.Table, pairs: Sequence[tuple[int, int]]
     for i, (a, b) in enumerate(pairs):
         for x in (a, b):
             weights[place(x), 1 + i] += 1
-    forest, up, down, at = Forest(len(names), weights), place(parent).tolist(), place(child).tolist(), place(node).tolist()
-    coming, going = np.argsort(left, kind="stable").tolist(), np.argsort(right, kind="stable").tolist()
-    order = np.lexsort((mutations.column("id").to_numpy(), pos)).tolist()
-    states, olds = mutations.column("state").to_pylist(), mutations.column("ancestral").to_pylist()
-    starts, ends, places = left.tolist(), right.tolist(), pos.tolist()
-    out, i, j, m = [], 0, 0, 0
-    while m < len(order):
-        here = places[order[m]]
-        # edges in the order of the sequence, those that end at a place before those that begin there
-        while i < len(going) and ends[going[i]] <= here or j < len(coming) and starts[coming[j]] <= here:
-            if j == len(coming) or i < len(going) and ends[going[i]] <= starts[coming[j]]:
-                forest.remove(up[going[i]], down[going[i]])
-                i += 1
-            else:
-                forest.insert(up[coming[j]], down[coming[j]])
-                j += 1
-        mine = []
-        while m < len(order) and places[order[m]] == here:
-            mine.append((at[order[m]], states[order[m]]))
-            old = olds[order[m]]
-            m += 1
-        found = list(forest.alleles(mine, old).values())
-        differ = np.zeros(len(pairs), bool)
+    forest, at = Forest(len(names), weights), place(node)
+    bits = [1 << x for x in forest.shifts[1:]]  # a pair's field has two bits, for it has two samples
+    whole, ones = (1 << forest.shifts[1]) - 1, sum(bits)
+    # edges in the order of the sequence, those that end at a place before those that begin there
+    moved, comes = np.concatenate([right, left]), np.repeat([False, True], len(left))
+    line = np.lexsort((comes, moved))
+    up, down, coming = (x[line].tolist() for x in (np.tile(place(parent), 2), np.tile(place(child), 2), comes))
+    order = np.lexsort((mutations.column("id").to_numpy(), pos))
+    sites, first = np.unique(pos[order], return_index=True)
+    made = list(zip(at[order].tolist(), mutations.column("state").take(pa.array(order)).to_pylist(), strict=True))
+    ends, olds = [*first[1:].tolist(), len(order)], mutations.column("ancestral").take(pa.array(order)).to_pylist()
+    out, m, i = [], 0, 0
+    for here, end, upto in zip(sites.tolist(), ends, np.searchsorted(moved[line], sites, side="right").tolist(), strict=True):
+        if i < upto:
+            forest.move(up[i:upto], down[i:upto], coming[i:upto])
+        mine, old, m, i = made[m:end], olds[end - 1], end, upto
+        found, differ = list(forest.alleles(mine, old).values()), 0
         for counts in found:
-            differ |= counts[1:] == 1  # one of the two has the allele and the other has not
-        out.append((here, [int(c[0]) for c in found if c[0] > 0], np.flatnonzero(differ).tolist()))
+            differ |= counts & ~(counts >> 1) & ones  # one of the two has the allele and the other has not
+        out.append((here, [c & whole for c in found if c & whole], [n for n, bit in enumerate(bits) if differ & bit] if differ else []))
     return out
 
 
@@ -128,6 +137,9 @@ def site_counts(edges: DataFrame, mutations: DataFrame, pairs: Sequence[tuple[in
         return pa.table({key: pa.array([keys[0].as_py()] * len(found), right.schema.field("_key").type), "pos": pa.array(pos, pa.float64()), "counts": pa.array(counts, pa.list_(pa.int64())), "pairs": pa.array(differ, pa.list_(pa.int64()))})
 
     schema = f"{key} {kind}, pos double, counts array<long>, pairs array<long>"
+    # as many tasks as are asked for: by their bytes, which say little of a span's work, they would be joined to fewer
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    there, own = there.repartition(parts, key, "span"), own.repartition(parts, "_key", "_span")
     return there.groupBy(key, "span").cogroup(own.groupBy("_key", "_span")).applyInArrow(count, schema)
 
 

@@ -29,7 +29,7 @@ def tree_files(spark, d) -> str:
 
 def tree_counts(spark, d):
     folder = tree_files(spark, d)
-    contig = F.regexp_extract("file", r"([^/-]+)-[0-9]+\.trees$", 1)
+    contig = F.substring_index(F.substring_index("file", "/", -1), "-", 1)  # of a name contig-span.trees
     edges, muts = (rows.withColumn("contig", contig).drop("file") for rows in (trees.edges_of(spark, folder), trees.mutations_of(spark, folder)))
     return genealogy.site_counts(edges, muts, PAIRS, "contig", FILE_SPAN)
 

@@ -1,8 +1,8 @@
 """Tree sequences in key-array stores, as a data source of Spark: spark.read.format("trees").
 
 A store is a header, a directory of named arrays, and the arrays, each aligned
-to eight bytes. A partition is a range of a table's rows; of it only the bytes
-of the wanted columns are read.
+to eight bytes. A partition is a range of a table's rows, or several small files
+of a folder; of it only the bytes of the wanted columns are read.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +37,10 @@ TABLES = {
 }
 #: Columns by which a table's rows are sorted.
 SORTED = {"sites": "position", "mutations": "site"}
-ROWS = 1 << 20
+#: Columns of a mutation's site that can be named beside its own.
+OF_SITE = {"position": "double", "ancestral_state": "string"}
+ROWS, BATCH = 1 << 20, 1 << 16
+SMALL = 1 << 22  # bytes of small files that a partition reads together
 
 
 @dataclass(frozen=True)
@@ -109,6 +113,8 @@ def column_of(file: pa.NativeFile, arrays: dict[str, Held], table: str, column:
         ends = part(file, offset, low, high + 1).astype(np.int64)
         data = part(file, held, int(ends[0]), int(ends[-1])).tobytes()
         ends = ends - ends[0]
+        if data.isascii() and len(data) < 1 << 31:
+            return pa.StringArray.from_buffers(high - low, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data))
         return pa.array([data[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.string())
     arrow = pa.float64() if kind == "double" else pa.int64()
     if held is None:
@@ -118,6 +124,26 @@ def column_of(file: pa.NativeFile, arrays: dict[str, Held], table: str, column:
     return pa.array(values.astype(np.float64 if kind == "double" else np.int64), mask=np.isnan(values) if held.kind[1] == "f" else None)
 
 
+def of_sites(file: pa.NativeFile, arrays: dict[str, Held], column: str, low: int, high: int) -> pa.Array:
+    """A column of the sites of mutations low to high: they are sorted by site, so theirs stand together, and are read BATCH at a time."""
+    held, n = arrays.get(array_name("mutations", "site")), row_count(arrays, "sites")
+    if held is None:
+        raise ValueError("the file has no sites of mutations")
+    wanted = part(file, held, low, high).astype(np.int64)
+    if len(wanted) and not 0 <= wanted.min() <= wanted.max() < n:
+        raise ValueError(f"a mutation is at a site that is none of {n}")
+    order = np.argsort(wanted, kind="stable")
+    places, found = wanted[order], []
+    while len(places):
+        first = int(places[0])
+        here = places[: np.searchsorted(places, first + BATCH)]
+        found.append(column_of(file, arrays, "sites", column, first, int(here[-1]) + 1).take(pa.array(here - first)))
+        places = places[len(here) :]
+    if not found:
+        return pa.nulls(0, pa.float64() if OF_SITE[column] == "double" else pa.string())
+    return pa.concat_arrays(found).take(pa.array(np.argsort(order, kind="stable")))
+
+
 def first_at(file: pa.NativeFile, held: Held, value: float) -> int:
     """The first row of a sorted column at or above a value: a few bytes for each halving."""
     low, high = 0, held.length
@@ -135,56 +161,92 @@ class Rows(InputPartition):
     high: int
 
 
+@dataclass(frozen=True)
+class Files(InputPartition):
+    """Files that one task reads whole."""
+
+    paths: tuple[str, ...]
+
+
+def columns_of(table: str) -> dict[str, str]:
+    """The columns of a table that a reader can name, and their types."""
+    return {"file": "string", "id": "long"} | TABLES[table] | (OF_SITE if table == "mutations" else {})
+
+
 class TreesReader(DataSourceReader):
     def __init__(self, options: dict[str, str], schema: StructType):
         self.table, self.rows = options.get("table", "edges"), int(options.get("rows", ROWS))
         self.path, self.columns = options["path"], [f.name for f in schema.fields]
-        known = {"file", "id", *TABLES[self.table]}
-        if absent := sorted(set(self.columns) - known):
+        if absent := sorted(set(self.columns) - columns_of(self.table).keys()):
             raise ValueError(f"{self.table} has no {', '.join(absent)}")
         self.low, self.high = (float(options[x]) if x in options else None for x in ("low", "high"))
         if (self.low, self.high) != (None, None) and self.table not in SORTED:
             raise ValueError(f"{self.table} are not sorted by a column")
 
-    def files(self) -> list[str]:
-        """The file, or a folder's files that end in .trees or .ts."""
+    def files(self) -> list[tuple[str, int | None]]:
+        """The file, or a folder's files that end in .trees or .ts and how many bytes each has."""
         store, path = fs.FileSystem.from_uri(self.path)
         info = store.get_file_info(path)
         if info.type == fs.FileType.Directory:
             found = store.get_file_info(fs.FileSelector(path))
-            return sorted(self.path.rstrip("/") + "/" + x.base_name for x in found if x.base_name.endswith((".trees", ".ts")))
+            return sorted((self.path.rstrip("/") + "/" + x.base_name, x.size) for x in found if x.base_name.endswith((".trees", ".ts")))
         if info.type == fs.FileType.NotFound:
             raise ValueError(f"no such file: {self.path}")
-        return [self.path]
+        return [(self.path, None)]
+
+    def ends(self, file: pa.NativeFile, arrays: dict[str, Held]) -> tuple[int, int]:
+        """The first row that is wanted, and the one after the last."""
+        low, high = 0, row_count(arrays, self.table)
+        if self.table in SORTED:
+            held = arrays[array_name(self.table, SORTED[self.table])]
+            low = low if self.low is None else first_at(file, held, self.low)
+            high = high if self.high is None else first_at(file, held, self.high)
+        return low, high
 
     def partitions(self) -> Sequence[InputPartition]:
-        out = []
-        for path in self.files():
+        """Ranges of the rows of a file; small files of a folder go together, and are not opened here."""
+        out, together, size = [], [], 0
+        most = min(SMALL, 4 * self.rows)  # a row takes four bytes of a file at least
+        for path, own in self.files():
+            if own is not None and own <= most:
+                if together and size + own > most:
+                    out.append(Files(tuple(together)))
+                    together, size = [], 0
+                together.append(path)
+                size += own
+                continue
             store, inner = fs.FileSystem.from_uri(path)
             with store.open_input_file(inner) as file:
-                arrays = directory(file)
-                low, high = 0, row_count(arrays, self.table)
-                if self.table in SORTED:
-                    held = arrays[array_name(self.table, SORTED[self.table])]
-                    low = low if self.low is None else first_at(file, held, self.low)
-                    high = high if self.high is None else first_at(file, held, self.high)
+                low, high = self.ends(file, directory(file))
             out += [Rows(path, a, min(a + self.rows, high)) for a in range(low, high, self.rows)]
+        if together:
+            out.append(Files(tuple(together)))
         return out or [Rows("", 0, 0)]
 
-    def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
-        store, inner = fs.FileSystem.from_uri(partition.path)
+    def read(self, partition: Rows | Files) -> Iterator[pa.RecordBatch]:
+        if isinstance(partition, Files):
+            for path in partition.paths:
+                yield from self.batches(path)
+        elif partition.path:
+            yield from self.batches(partition.path, partition.low, partition.high)
+
+    def batches(self, path: str, first: int = 0, last: int | None = None) -> Iterator[pa.RecordBatch]:
+        """The rows of a file from first to last, or all that are wanted."""
+        store, inner = fs.FileSystem.from_uri(path)
         with store.open_input_file(inner) as file:
             arrays = directory(file)
-            for low in range(partition.low, partition.high, 1 << 16):
-                high = min(low + (1 << 16), partition.high)
+            if last is None:
+                first, last = self.ends(file, arrays)
+            for low in range(first, last, BATCH):
+                high = min(low + BATCH, last)
                 columns = []
                 for name in self.columns:
                     if name == "file":
-                        columns.append(pa.array([partition.path] * (high - low)))
+                        columns.append(pa.repeat(path, high - low))
                     elif name == "id":
                         columns.append(pa.array(np.arange(low, high)))
+                    elif name not in TABLES[self.table]:
+                        columns.append(of_sites(file, arrays, name, low, high))
                     else:
                         columns.append(column_of(file, arrays, self.table, name, low, high))
                 yield pa.RecordBatch.from_arrays(columns, self.columns)
@@ -218,7 +280,7 @@ def read_table(spark: SparkSession, path: str, table: str, columns: Sequence[str
     for name, value in (("low", low), ("high", high)):
         reader = reader if value is None else reader.option(name, repr(float(value)))
     if columns is not None:
-        known = {"file": "string", "id": "long"} | TABLES[table]
+        known = columns_of(table)
         if absent := sorted(set(columns) - known.keys()):
             raise ValueError(f"{table} has no {', '.join(absent)}")
         reader = reader.schema(", ".join(f"{c} {known[c]}" for c in columns))
@@ -232,10 +294,8 @@ def edges_of(spark: SparkSession, path: str) -> DataFrame:
 
 def mutations_of(spark: SparkSession, path: str) -> DataFrame:
     """mutations(file, pos, id, node, state, ancestral): each mutation beside its site."""
-    sites = read_table(spark, path, "sites").withColumnsRenamed({"file": "_file", "id": "_id"})
-    rows = read_table(spark, path, "mutations", ["file", "id", "site", "node", "derived_state"])
-    met = rows.join(sites, (F.col("file") == F.col("_file")) & (F.col("site") == F.col("_id")))
-    return met.select("file", F.col("position").alias("pos"), "id", "node", F.col("derived_state").alias("state"), F.col("ancestral_state").alias("ancestral"))
+    rows = read_table(spark, path, "mutations", ["file", "id", "node", "derived_state", "position", "ancestral_state"])
+    return rows.select("file", F.col("position").alias("pos"), "id", "node", F.col("derived_state").alias("state"), F.col("ancestral_state").alias("ancestral"))
 
 
 def encoded(arrays: dict[str, np.ndarray]) -> bytes:
@@ -276,25 +336,22 @@ def write_files(rows: DataFrame, folder: str) -> DataFrame:
 
     def write(key: tuple, table: pa.Table) -> pa.Table:
         name = key[0].as_py()
-        data = table.to_pydict()
-        of = lambda kind: [i for i, k in enumerate(data["kind"]) if k == kind]
-        edges = sorted(((data["c"][i], data["d"][i], data["a"][i], data["b"][i]) for i in of("edge")))
-        muts = sorted((data["a"][i], data["c"][i], data["b"][i], data["state"][i], data["ancestral"][i]) for i in of("mutation"))
-        places = sorted({m[0] for m in muts})
-        ancestral = {m[0]: m[4] for m in muts}
-        number = {p: i for i, p in enumerate(places)}
-        nodes = 1 + int(max([0, *(e[0] for e in edges), *(e[1] for e in edges), *(m[2] for m in muts)]))
+        of = lambda kind, *order: table.filter(pc.equal(table.column("kind"), kind)).sort_by([(x, "ascending") for x in order])
+        edges, muts = of("edge", "c", "d", "a", "b"), of("mutation", "a", "c", "b", "state", "ancestral")
+        left, right, parent, child = (edges.column(x).to_numpy() for x in "abcd")
+        pos, node = (muts.column(x).to_numpy() for x in "ab")
+        places, number = np.unique(pos, return_inverse=True)
+        nodes = 1 + int(max([0, *(x.max() for x in (parent, child, node) if len(x))]))
         column = lambda values, kind: np.array(values, kind)
-        states, state_ends = ragged([m[3] for m in muts])
-        olds, old_ends = ragged([ancestral[p] for p in places])
-        left, right = column([e[2] for e in edges], "f8"), column([e[3] for e in edges], "f8")
+        states, state_ends = ragged(muts.column("state").to_pylist())
+        olds, old_ends = ragged(muts.column("ancestral").take(pa.array(np.searchsorted(pos, places, "right") - 1)).to_pylist())
         arrays = {
-            "format/name": np.frombuffer(b"tskit.trees", np.int8), "format/version": column([12, 7], "u4"), "sequence_length": column([data["length"][0]], "f8"),
+            "format/name": np.frombuffer(b"tskit.trees", np.int8), "format/version": column([12, 7], "u4"), "sequence_length": column([table.column("length")[0].as_py()], "f8"),
             "nodes/time": np.arange(nodes, dtype="f8"), "nodes/flags": column([0] * nodes, "u4"), "nodes/population": column([-1] * nodes, "i4"), "nodes/individual": column([-1] * nodes, "i4"),
-            "edges/left": left, "edges/right": right, "edges/parent": column([e[0] for e in edges], "i4"), "edges/child": column([e[1] for e in edges], "i4"),
+            "edges/left": left, "edges/right": right, "edges/parent": column(parent, "i4"), "edges/child": column(child, "i4"),
             "indexes/edge_insertion_order": np.argsort(left, kind="stable").astype("i4"), "indexes/edge_removal_order": np.argsort(right, kind="stable").astype("i4"),
             "sites/position": column(places, "f8"), "sites/ancestral_state": olds, "sites/ancestral_state_offset": old_ends,
-            "mutations/site": column([number[m[0]] for m in muts], "i4"), "mutations/node": column([m[2] for m in muts], "i4"), "mutations/parent": column([-1] * len(muts), "i4"),
+            "mutations/site": column(number, "i4"), "mutations/node": column(node, "i4"), "mutations/parent": column([-1] * len(muts), "i4"),
             "mutations/time": column([np.nan] * len(muts), "f8"), "mutations/derived_state": states, "mutations/derived_state_offset": state_ends,
         }
         raw = encoded(arrays)
@@ -305,4 +362,5 @@ def write_files(rows: DataFrame, folder: str) -> DataFrame:
         store.move(f"{base}/{name}.trees.part", f"{base}/{name}.trees")  # a task that runs again writes the same file
         return pa.table({"file": [f"{folder}/{name}.trees"], "bytes": [len(raw)]})
 
-    return rows.groupBy("name").applyInArrow(write, "file string, bytes long")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "name").groupBy("name").applyInArrow(write, "file string, bytes long")

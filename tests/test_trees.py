@@ -174,3 +174,93 @@ def test_what_is_no_store(spark, tmp_path):
     for bad, message in ((lambda: C.contig(spark, "a.trees", [(0, 1)], "1:1-9"), "region"), (lambda: C.contig(spark, "a.vcf", ["A"]), "region"), (lambda: C.contig(spark, "a.tsz"), "no source"), (lambda: trees.read_table(spark, "a.trees", "edges", ["time"]), "no time")):
         with pytest.raises(ValueError, match=message):
             bad()
+
+
+def written(spark, folder, files: int):
+    """A folder of small files, each with a history of its own, and what is in them."""
+    rows, edges, muts = [], [], []
+    for i in range(files):
+        own = history(i, moves=30)
+        edges += [(f"c{i}", *e) for e in own[0]]
+        muts += [(f"c{i}", m[0], m[2], m[3], m[4]) for m in own[1]]
+        rows += [(f"c{i}", float(LENGTH), "edge", *map(float, e), None, None) for e in own[0]] + [(f"c{i}", float(LENGTH), "mutation", m[0], float(m[2]), float(m[1]), None, m[3], m[4]) for m in own[1]]
+    df = spark.createDataFrame(rows, "name string, length double, kind string, a double, b double, c double, d double, state string, ancestral string")
+    assert trees.write_files(df, folder).count() == files
+    return sorted(edges), sorted(muts)
+
+
+def test_small_files_go_together(spark, tmp_path, monkeypatch):
+    """A folder's small files are few partitions, and are opened by the tasks that read them, mutations with their sites."""
+    edges, muts = written(spark, str(tmp_path), 12)
+    name = lambda path: path.rsplit("/", 1)[1].removesuffix(".trees")
+    rows = trees.edges_of(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() == 1
+    assert sorted((name(r.file), *r[1:]) for r in rows.collect()) == edges
+    found = trees.mutations_of(spark, str(tmp_path))
+    assert sorted((name(r.file), r.pos, r.node, r.state, r.ancestral) for r in found.collect()) == muts
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    sites = {m[:2] for m in muts if 1000 <= m[1] < 2000}
+    got = trees.read_table(spark, str(tmp_path), "sites", ["file", "position"], low=1000, high=2000).collect()
+    assert len(got) == len(sites) and {(name(r.file), r.position) for r in got} == sites
+    few = trees.read_table(spark, str(tmp_path), "edges", ["id"], rows=10)
+    assert few.rdd.getNumPartitions() > 12 and few.rdd.glom().map(len).max() == 10
+    monkeypatch.setattr(trees, "directory", lambda file: pytest.fail("opened"))
+    reader = trees.TreesReader({"table": "edges", "path": str(tmp_path)}, rows.schema)
+    assert [len(x.paths) for x in reader.partitions()] == [12]
+    monkeypatch.setattr(trees, "SMALL", max(p.stat().st_size for p in tmp_path.glob("*.trees")) * 3)
+    shares = [x.paths for x in reader.partitions()]
+    assert len(shares) > 3 and sorted(p for x in shares for p in x) == [p for p, _ in reader.files()]
+
+
+def test_sites_of_mutations(tmp_path, monkeypatch):
+    """Sites far apart, in any order, read a few at a time; a mutation without a site is an error."""
+    text, ends = trees.ragged([str(i) for i in range(50)])
+    of = lambda sites: {"sites/position": np.arange(50) * 2.0, "sites/ancestral_state": text, "sites/ancestral_state_offset": ends, "mutations/site": np.array(sites, "i4")}
+    monkeypatch.setattr(trees, "BATCH", 4)
+    for sites in ([], [0], [3, 3, 9, 40, 41, 49], [7, 2, 30, 2]):
+        with pa.BufferReader(trees.encoded(of(sites))) as file:
+            arrays = trees.directory(file)
+            assert trees.of_sites(file, arrays, "position", 0, len(sites)).to_pylist() == [2.0 * x for x in sites]
+            assert trees.of_sites(file, arrays, "ancestral_state", 0, len(sites)).to_pylist() == [str(x) for x in sites]
+    with pa.BufferReader(trees.encoded(of([50]))) as file, pytest.raises(ValueError, match="none of 50"):
+        trees.of_sites(file, trees.directory(file), "position", 0, 1)
+
+
+def test_counts_of_many_sets_are_one_number():
+    """More pairs than a machine word has bits for; an edge changes one integer for each node above."""
+    edges, muts = history(11)
+    pairs = [(i % SAMPLES, (i + 1 + i // SAMPLES) % SAMPLES) for i in range(60)]
+    table = lambda names, rows: pa.table(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)))
+    got = genealogy.sweep(table(("left", "right", "parent", "child"), edges), table(("pos", "id", "node", "state", "ancestral"), muts), pairs)
+    alleles = {}
+    for pos, sample, allele in genotypes(edges, muts):
+        alleles.setdefault(pos, {})[sample] = allele
+    assert [(pos, sorted(counts), differ) for pos, counts, differ in got] == [
+        (pos, sorted(list(own.values()).count(x) for x in set(own.values()) - {"A"}), [i for i, (a, b) in enumerate(pairs) if own[a] != own[b]]) for pos, own in sorted(alleles.items())
+    ]
+    weights = np.zeros((4, 61), np.int64)
+    weights[0] = 1
+    forest = genealogy.Forest(4, weights)
+    forest.insert(2, 0)
+    assert all(isinstance(x, int) for x in forest.below) and forest.below[2] == forest.below[0] == (1 << 61) - 1
+
+
+def test_of_moves_at_one_place_the_oldest_counts(spark, tmp_path):
+    """Moves are told apart by the window that finds the next ones, and need no aggregation of all of them."""
+    from strandloom.sources import adapters as A
+
+    rng = random.Random(2)
+    rows = [(rng.randrange(60) * 5000, 26 * rng.randrange(3) + rng.randrange(3), rng.randrange(40), rng.choice("AN")) for _ in range(300)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(400_000,)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    moves = {}
+    for key, part, supp, flag in rows:
+        low = max(part % 26 + 1, A.HAPLOIDS)
+        of = moves.setdefault((flag, part % 26), {})
+        of[key * 10] = max(of.get(key * 10, 0), low + supp % (A.LINEAGES - low))
+    want = []
+    for (flag, child), of in moves.items():
+        places = sorted(of)
+        want += [(flag, a, b, of[a], child) for a, b in zip(places, [*places[1:], 4_000_020], strict=True)]
+    assert len(want) < len(rows)
+    assert sorted(map(tuple, A.lineages(spark, str(tmp_path)).collect())) == sorted(want)
